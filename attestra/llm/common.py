@@ -2,50 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_SHARED: list[str] = []
-
+from attestra.sources.shared import materialize, shared_path  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset and Spark runs in one process, a temporary folder serves; on a cluster an
-    unset folder is an error, as a machine-local one would lose files.
-    """
-    conf = spark.sparkContext.getConf()
-    set_by_cluster = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _LOCAL_SHARED:
-        _LOCAL_SHARED.append("file://" + tempfile.mkdtemp(prefix="attestra-"))
-    return _LOCAL_SHARED[0]
-
-
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again, which cuts its lineage."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_rows(
     df: DataFrame, per_batch: Callable[..., Iterable[list]], schema: str, names: list[str] | None = None
 ) -> DataFrame:

@@ -1,0 +1,320 @@
+"""Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
+
+Patterns give the base spans. The field adds spans of kinds that patterns miss: national phone numbers, personal
+identity numbers and spelled-out e-mail addresses. It is trained here, from ``LABELLED``, by gradient ascent on
+the conditional likelihood; Viterbi decodes all candidate runs of a batch together in numpy.
+
+Words without a digit, ``@`` or a spelled-out sign are labelled as nothing by definition, which breaks the chain there, so only
+runs of other words are decoded; that is the same best labelling as decoding the whole text under that rule. Added
+spans that overlap base spans are dropped.
+
+Null and empty texts have no spans; repeated rows each give their row; a text of any length is scanned whole.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import defaultdict
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestra.llm.common import map_rows, table
+
+KINDS = ("email", "ip", "card", "phone")
+
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# Digit runs begin behind a non-digit: a failed run fails from each of its digits, so this loses no match.
+_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_CARD = re.compile(r"(?<![0-9])[0-9]([\x20-]?[0-9])+")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_DIGIT = re.compile(r"[0-9]")
+_LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def _luhn(digits: str) -> bool:
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        n = int(d) * (1 + k % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def _emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches, found from each @: the local part is the run of its characters before it."""
+    spans, free = [], 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        if start < at and (m := _DOMAIN.match(text, at + 1)):
+            spans.append((start, m.end()))
+            free = m.end()
+            at = text.find("@", free)
+        else:
+            free = max(free, at + 1)
+            at = text.find("@", at + 1)
+    return spans
+
+
+def base_spans(text: str | None) -> list[tuple[int, int, int]]:
+    """(start, index of kind, end) of the patterns' spans, sorted."""
+    if not text:
+        return []
+    found = [(s, 0, e) for s, e in _emails(text)] if "@" in text else []
+    if _DIGIT.search(text):
+        for m in _IP.finditer(text):
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
+                found.append((m.start(), 1, m.end()))
+        for m in _CARD.finditer(text):
+            digits = m[0].replace(" ", "").replace("-", "")
+            if 14 <= len(digits) <= 19 and _luhn(digits):
+                found.append((m.start(), 2, m.end()))
+        if "+" in text:
+            for m in _PHONE.finditer(text):
+                if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+                    found.append((m.start(), 3, m.end()))
+    found.sort()
+    return found
+
+
+# --- the conditional random field -------------------------------------------------------------------
+
+#: Small labelled table: words with labels; B- begins a span, I- continues it, nothing else is labelled O.
+LABELLED = [
+    [("call", "O"), ("(377)", "B-phone"), ("555-0271", "I-phone"), ("today", "O")],
+    [("tel", "O"), ("(212)", "B-phone"), ("555-0142,", "I-phone"), ("room", "O"), ("14", "O")],
+    [("phone", "O"), ("415-555-0132", "B-phone"), ("ext", "O"), ("12", "O")],
+    [("ring", "O"), ("415.555.0199.", "B-phone"), ("Then", "O")],
+    [("mobile", "O"), ("0171", "B-phone"), ("5550123", "I-phone"), ("please", "O")],
+    [("fax", "O"), ("030", "B-phone"), ("555", "I-phone"), ("0188", "I-phone"), ("und", "O")],
+    [("number", "O"), ("555-0147", "B-phone"), ("is", "O")],
+    [("ssn", "O"), ("078-05-1120", "B-id"), ("on", "O"), ("file", "O")],
+    [("id", "O"), ("219-09-9999.", "B-id"), ("Next", "O")],
+    [("social", "O"), ("security", "O"), ("457-55-5462,", "B-id"), ("and", "O")],
+    [("write", "O"), ("maya(at)mail.example", "B-email"), ("soon", "O")],
+    [("to", "O"), ("j.doe[at]example.org,", "B-email"), ("or", "O")],
+    [("ask", "O"), ("info(at)site7.example.com", "B-email"), ("now", "O")],
+    [("in", "O"), ("2019", "O"), ("there", "O")], [("on", "O"), ("2021-03-04", "O"), ("at", "O"), ("10:30", "O")],
+    [("about", "O"), ("1,200", "O"), ("of", "O"), ("3.5", "O"), ("m", "O")], [("version", "O"), ("4.0.", "O"), ("of", "O")],
+    [("page", "O"), ("17", "O"), ("18", "O"), ("19", "O")], [("code", "O"), ("AB12-99", "O"), ("x3", "O")],
+    [("at", "O"), ("192.168.1.7", "O"), ("the", "O")], [("card", "O"), ("2390409500648960", "O"), ("paid", "O")],
+    [("mail", "O"), ("a.b@mail7.example.com", "O"), ("ok", "O")], [("sum", "O"), ("100000", "O"), ("or", "O"), ("25000", "O")],
+    [("from", "O"), ("1990-2004", "O"), ("to", "O")], [("row", "O"), ("12-14", "O"), ("and", "O"), ("3-4", "O")],
+    [("key", "O"), ("sk-9f8e7d6c5b4a", "O"), ("set", "O")], [("born", "O"), ("12.05.1980", "O"), ("in", "O")],
+    [("+1", "O"), ("(377)", "O"), ("555-0271", "O"), ("x", "O")], [("the", "O"), ("(3)", "O"), ("first", "O")],
+]
+
+LABELS = ["O", *dict.fromkeys(label for words in LABELLED for _, label in words if label != "O")]
+_NEVER = -1e4
+_SIGN = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_UPPER, _LOWER, _DIGITS = re.compile(r"[^\W\d_]"), re.compile(r"[a-z]"), re.compile(r"[0-9]")
+
+
+def shape(word: str) -> str:
+    """Digits 9, small letters a, capitals A, the rest as it is; runs of letters shortened, of digits kept up to nine."""
+    out = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:40])
+    out = re.sub(r"a+", "a", out)
+    return re.sub(r"9{10,}", "9" * 10, re.sub(r"A+", "A", out)).rstrip(".,;:!?")
+
+
+def features(words: list[str], k: int) -> list[str]:
+    here = shape(words[k])
+    digits = sum(c == "9" for c in here)
+    before = shape(words[k - 1]) if k else "<"
+    after = shape(words[k + 1]) if k + 1 < len(words) else ">"
+    return [
+        "1", f"s={here}", f"d={min(digits, 12)}", f"p={re.sub('9+', '9', here)}", f"b={before}", f"n={after}",
+        f"at={bool(re.search(r'[(\[]at[)\]]', words[k]))}", f"plus={before.startswith('+')}",
+    ]
+
+
+class Field:
+    """Weights of a linear-chain conditional random field; ``train`` is plain gradient ascent with a penalty."""
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.emission = np.zeros((0, len(LABELS)))
+        self.transition = np.zeros((len(LABELS), len(LABELS)))
+        self.allowed = np.zeros_like(self.transition)
+        for i, a in enumerate(LABELS):
+            for j, b in enumerate(LABELS):
+                if b.startswith("I-") and a[2:] != b[2:]:
+                    self.allowed[i, j] = _NEVER
+        self.first = np.array([_NEVER if label.startswith("I-") else 0.0 for label in LABELS])
+
+    def train(self, labelled=LABELLED, rounds: int = 300, rate: float = 0.5, penalty: float = 0.002) -> Field:
+        data = []
+        for words in labelled:
+            names = [w for w, _ in words]
+            rows = [[self.index.setdefault(f, len(self.index)) for f in features(names, k)] for k in range(len(names))]
+            data.append((rows, [LABELS.index(label) for _, label in words]))
+        self.emission = np.zeros((len(self.index), len(LABELS)))
+        for _ in range(rounds):
+            ge, gt = np.zeros_like(self.emission), np.zeros_like(self.transition)
+            for rows, gold in data:
+                e = np.array([self.emission[r].sum(0) for r in rows])
+                single, pair = self._marginals(e)
+                for k, r in enumerate(rows):
+                    ge[r, gold[k]] += 1
+                    ge[r] -= single[k]
+                    if k:
+                        gt[gold[k - 1], gold[k]] += 1
+                        gt -= pair[k - 1]
+            self.emission += rate * (ge / len(data) - penalty * self.emission)
+            self.transition += rate * (gt / len(data) - penalty * self.transition)
+        return self
+
+    def _marginals(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = self.transition + self.allowed
+        n = len(e)
+        alpha, beta = np.zeros_like(e), np.zeros_like(e)
+        alpha[0] = e[0] + self.first
+        for k in range(1, n):
+            alpha[k] = e[k] + np.logaddexp.reduce(alpha[k - 1][:, None] + t, 0)
+        for k in range(n - 2, -1, -1):
+            beta[k] = np.logaddexp.reduce(t + e[k + 1] + beta[k + 1], 1)
+        z = np.logaddexp.reduce(alpha[-1])
+        pair = [np.exp(alpha[k][:, None] + t + e[k + 1] + beta[k + 1] - z) for k in range(n - 1)]
+        return np.exp(alpha + beta - z), np.array(pair)
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Emission scores; words without a sign are nothing by definition."""
+        out = np.zeros((len(words), len(LABELS)))
+        for k, word in enumerate(words):
+            if _SIGN.search(word):
+                out[k] = self.emission[[i for f in features(words, k) if (i := self.index.get(f)) is not None]].sum(0)
+            else:
+                out[k, 1:] = _NEVER
+        return out
+
+    def viterbi(self, batch: list[np.ndarray]) -> list[list[int]]:
+        """Best labels of runs of equal length, all at once."""
+        e = np.stack(batch)
+        t = self.transition + self.allowed
+        best, back = e[:, 0] + self.first, []
+        for k in range(1, e.shape[1]):
+            step = best[:, :, None] + t
+            back.append(step.argmax(1))
+            best = step.max(1) + e[:, k]
+        path = [best.argmax(1)]
+        for b in reversed(back):
+            path.append(b[np.arange(len(b)), path[-1]])
+        return np.stack(path[::-1], 1).tolist()
+
+
+def candidate_runs(text: str) -> list[list[tuple[int, int]]]:
+    """Runs of neighbouring words that have a sign, as (start, end)."""
+    runs: list[list[tuple[int, int]]] = []
+    at, n = 0, len(text)
+    while m := _SIGN.search(text, at):
+        start, end = m.start(), m.end()
+        while start > at and not text[start - 1].isspace():
+            start -= 1
+        while end < n and not text[end].isspace():
+            end += 1
+        if runs and text[runs[-1][-1][1] : start].isspace():
+            runs[-1].append((start, end))
+        else:
+            runs.append([(start, end)])
+        at = end
+    return runs
+
+
+_TRIM_END = ".,;:!?"
+
+
+def added_spans(field: Field, texts: list[str | None], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, str, int]]]:
+    """(start, kind, end) that the field adds to each text, sorted, none overlapping a base span."""
+    waiting: dict[int, list] = defaultdict(list)
+    for i, text in enumerate(texts):
+        if text and _SIGN.search(text):
+            for run in candidate_runs(text):
+                before = re.search(r"\S+\Z", text[max(0, run[0][0] - 60) : run[0][0]].rstrip())
+                after = re.match(r"\s*(\S+)", text[run[-1][1] : run[-1][1] + 60])
+                words = [text[s:e] for s, e in run]
+                head, tail = ([before[0]] if before else []), ([after[1]] if after else [])
+                scores = field.scores(head + words + tail)[len(head) : len(head) + len(words)]
+                waiting[len(run)].append((i, run, scores))
+    out: list[list[tuple[int, str, int]]] = [[] for _ in texts]
+    for some in waiting.values():
+        for (i, run, _), path in zip(some, field.viterbi([s for _, _, s in some]), strict=True):
+            open_: list | None = None
+            for (start, end), label in zip(run, path, strict=True):
+                name = LABELS[label]
+                if name.startswith("B-"):
+                    open_ = [start, name[2:], end]
+                    out[i].append(open_)
+                elif name.startswith("I-") and open_:
+                    open_[2] = end
+                else:
+                    open_ = None
+    for i, found in enumerate(out):
+        kept = []
+        for start, kind, end in sorted(map(tuple, found)):
+            while end > start and texts[i][end - 1] in _TRIM_END:
+                end -= 1
+            if all(end <= s or start >= e for s, _, e in base[i]):
+                kept.append((start, kind, end))
+        out[i] = kept
+    return out
+
+
+_FIELD: list[Field] = []
+
+
+def _field() -> Field:
+    if not _FIELD:
+        _FIELD.append(Field().train())
+    return _FIELD[0]
+
+
+def _joined(spans: list[tuple[int, str, int]]) -> str:
+    return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: counts of the base kinds, base spans and all spans as text. No shuffle; the field is trained once a worker."""
+
+    def per_batch(keys, texts):
+        base = [base_spans(t) for t in texts]
+        added = added_spans(_field(), texts, base)
+        named = [[(s, KINDS[k], e) for s, k, e in b] for b in base]
+        order = {kind: k for k, kind in enumerate((*KINDS, "id"))}
+        whole = [sorted(b + a, key=lambda x: (x[0], order[x[1]], x[2])) for b, a in zip(named, added, strict=True)]
+        return [
+            keys, *[[sum(k == n for _, k, _ in b) for b in base] for n in range(4)],
+            [_joined(b) for b in named], [_joined(w) for w in whole],
+        ]
+
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_spans string, spans string"
+    return map_rows(docs.select(id_col, text_col), per_batch, schema)
+
+
+def mask_text(text: str | None, rate: Field | None = None) -> str | None:
+    """The text with every span replaced by its kind in angle brackets."""
+    if not text:
+        return text
+    base = base_spans(text)
+    spans = [(s, KINDS[k], e) for s, k, e in base] + added_spans(rate or _field(), [text], [base])[0]
+    out, at = [], 0
+    for start, kind, end in sorted(spans, key=lambda x: (x[0], -x[2])):
+        if start >= at:
+            out.append(text[at:start] + f"<{kind.upper()}>")
+        at = max(at, end)
+    return "".join(out) + text[at:] if out else text
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone",
+        F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans",
+    )
+
+
+def digest(spans: str) -> str:
+    return hashlib.sha256(spans.encode()).hexdigest()
