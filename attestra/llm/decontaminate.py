@@ -15,6 +15,7 @@ import re
 from collections import defaultdict
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +124,28 @@ def contamination(
     return map_rows(docs.select(id_col, text_col), per_batch, schema)
 
 
+def keep_clean(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW,
+) -> DataFrame:
+    """The rows of ``docs``, whole, that the rule doesn't call contaminated; each batch is scanned and filtered in place."""
+    blocks = benchmark_blocks(docs.sparkSession, items, item_col, item_text_col)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            rows = [words_of(t) for t in batch.column(place).to_pylist()]
+            hits = [bytearray(len(w)) for w in rows]
+            for block in blocks:
+                automaton = _automaton(block, window)
+                for words, hit in zip(rows, hits, strict=True):
+                    scan(automaton, words, hit, set())
+            clean = [not (any(h) and 20 * sum(h) >= len(h)) for h in hits]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _runs(text: str, hit: bytearray) -> list[dict]:
     runs: list[dict] = []
     for k, m in enumerate(_WORD.finditer(text)):

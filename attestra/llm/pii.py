@@ -18,6 +18,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -294,18 +295,32 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return map_rows(docs.select(id_col, text_col), per_batch, schema)
 
 
-def mask_text(text: str | None, rate: Field | None = None) -> str | None:
-    """The text with every span replaced by its kind in angle brackets."""
-    if not text:
-        return text
-    base = base_spans(text)
-    spans = [(s, KINDS[k], e) for s, k, e in base] + added_spans(rate or _field(), [text], [base])[0]
+def mask_text(text: str, spans: list[tuple[int, str, int]]) -> str:
+    """The text with every span replaced by its kind in angle brackets; of overlapping spans the first and longest counts, and the rest goes too."""
     out, at = [], 0
     for start, kind, end in sorted(spans, key=lambda x: (x[0], -x[2])):
         if start >= at:
             out.append(text[at:start] + f"<{kind.upper()}>")
         at = max(at, end)
-    return "".join(out) + text[at:] if out else text
+    return "".join(out) + text[at:]
+
+
+def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, with all spans in their texts masked; nulls stay null."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            base = [base_spans(t) for t in texts]
+            added = added_spans(_field(), texts, base)
+            masked = [
+                mask_text(t, [(s, KINDS[k], e) for s, k, e in b] + a) if b or a else t
+                for t, b, a in zip(texts, base, added, strict=True)
+            ]
+            yield batch.set_column(place, batch.schema.field(place), pa.array(masked, batch.schema.field(place).type))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

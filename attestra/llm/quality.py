@@ -122,17 +122,21 @@ def mean_ratio(grams: Column, ratios: list[float]) -> Column:
 
 def quality(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    buckets: int = BUCKETS, threshold: float = THRESHOLD,
+    buckets: int = BUCKETS, threshold: float = THRESHOLD, keep_row: bool = False,
 ) -> DataFrame:
-    """Per document: counts, ``base_failed``, ``score`` and ``kept``. Two scans, one shuffle of one row per bucket and task."""
+    """Per document: counts, ``base_failed``, ``score`` and ``kept``. Two scans, one shuffle of one row per bucket and task.
+
+    ``keep_row``: the verdicts stand behind all columns of ``docs``, which must not have their names.
+    """
     ratios = train(docs, trusted, id_col, text_col, buckets)
     text = F.coalesce(F.col(text_col), F.lit(""))
+    own = [F.col(f"`{c}`") for c in docs.columns] if keep_row else [F.col(id_col)]
     base = docs.select(
-        F.col(id_col),
+        *own,
         text.alias("__text"),
         words_of(F.col(text_col)).alias("__words"),
     ).withColumn("__grams", hashed_ngrams(F.col("__words"), 3)).select(
-        F.col(id_col),
+        *own,
         F.size("__words").cast("long").alias("n_words"),
         F.aggregate("__words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
         F.regexp_count("__text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
