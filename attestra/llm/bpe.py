@@ -383,7 +383,7 @@ class Encoder:
     CUT = re.compile(r" (?=\S)")
     SHORT = 48
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, pack, joiner, bound: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pack, joiner, bound: int = 200_000):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.pack, self.joiner = pack, joiner
@@ -511,7 +511,7 @@ def encode_decode(
             ids_digests.append(hashlib.sha256(packed.encode("ascii")).hexdigest())
             text_digests.append(digest.hexdigest())
             if keep_ids:
-                kept.append([int(i) for i in ids])
+                kept.append(np.fromstring(packed, np.int32, sep=",") if packed else np.zeros(0, np.int32))
         return [keys, counts, ids_digests, text_digests, *([kept] if keep_ids else [])]
 
     kind = dict(df.dtypes)[id_col]

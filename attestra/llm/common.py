@@ -12,6 +12,9 @@ from attestra.sources.shared import materialize, shared_path  # noqa: F401
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+#: Rows that are Python objects at a time.
+SLICE = 1000
+
 
 def map_rows(
     df: DataFrame, per_batch: Callable[..., Iterable[list]], schema: str, names: list[str] | None = None
@@ -22,13 +25,12 @@ def map_rows(
     arrow_schema = to_arrow(out_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            columns = per_batch(*[c.to_pylist() for c in batch.columns])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(columns, arrow_schema, strict=True)], schema=arrow_schema
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                columns = per_batch(*[c.to_pylist() for c in whole.slice(at, SLICE).columns])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(columns, arrow_schema, strict=True)], schema=arrow_schema
+                )
 
     return df.mapInArrow(run, out_schema)
 

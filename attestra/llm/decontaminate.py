@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import map_rows, table
+from attestra.llm.common import SLICE, map_rows, table
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton; a larger benchmark is scanned for in several.
@@ -133,7 +133,7 @@ def keep_clean(
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             rows = [words_of(t) for t in batch.column(place).to_pylist()]
             hits = [bytearray(len(w)) for w in rows]
             for block in blocks:

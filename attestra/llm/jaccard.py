@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import materialize, table
+from attestra.llm.common import SLICE, materialize, table
 from attestra.llm.shingles import shingle_sets
 from attestra.operators.components import connected_components
 
@@ -34,14 +34,14 @@ PERCENT = 90
 #: Documents in the sample that finds frequent shingles, and in how many of them a frequent one is.
 SAMPLE, FREQUENT = 4096, 3
 #: 64-bit words of a bitmap.
-WORDS = 16
+WORDS = 8
 LEAF = 32
 #: Buckets up to SMALL give all their pairs at once; above BLOCK they are cut.
 SMALL, BLOCK = 8, 2000
 #: Pairs of documents to check: up to so many ids are broadcast to pick the texts, more are joined.
 BROADCAST_IDS = 2_000_000
 #: Texts hashed together.
-STEP_CHARS = 4_000_000
+STEP_CHARS = 1_000_000
 
 
 def needed(size: np.ndarray | int, percent: int):
@@ -60,6 +60,12 @@ def sets_in_steps(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
         at = end
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def bitmap(members: np.ndarray) -> bytes:
     bits = np.zeros(WORDS * 64, np.uint8)
     bits[(members >> np.uint64(17)) % np.uint64(WORDS * 64)] = 1
@@ -90,7 +96,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
 
     def run(batches):
         common = frequent.value
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, digests, prefixes, maps = [], [], [], []
             for members in sets_in_steps(batch.column(1).to_pylist(), width):
                 n = len(members)
@@ -279,7 +285,7 @@ def check_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, w
     kind = docs.schema[id_col].dataType
 
     def members(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [s.tobytes() for s in sets_in_steps(batch.column(1).to_pylist(), width)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 

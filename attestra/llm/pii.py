@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import map_rows, table
+from attestra.llm.common import SLICE, map_rows, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -310,7 +310,7 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             texts = batch.column(place).to_pylist()
             base = [base_spans(t) for t in texts]
             added = added_spans(_field(), texts, base)

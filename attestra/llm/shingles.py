@@ -28,7 +28,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = max(1 << 20, n)
         with np.errstate(over="ignore"):
             _POWERS[:] = [
                 np.concatenate([[_U(1)], np.full(size - 1, _U(step), _U)]).cumprod(dtype=_U) for step in (_ODD, _INVERSE)
