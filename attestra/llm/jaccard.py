@@ -38,6 +38,8 @@ WORDS = 8
 LEAF = 32
 #: Buckets up to SMALL give all their pairs at once; above BLOCK they are cut.
 SMALL, BLOCK = 8, 2000
+#: Buckets of the members' counts that bound the overlap of a pair once more before whole sets are fetched.
+COUNTS = 512
 #: Pairs of documents to check: up to so many ids are broadcast to pick the texts, more are joined.
 BROADCAST_IDS = 2_000_000
 #: Texts hashed together.
@@ -97,12 +99,12 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     def run(batches):
         common = frequent.value
         for batch in sliced(batches):
-            sizes, digests, prefixes, maps = [], [], [], []
+            sizes, digests, prefixes, maps, tallies = [], [], [], [], []
             for members in sets_in_steps(batch.column(1).to_pylist(), width):
                 n = len(members)
                 sizes.append(n)
                 if not n:
-                    digests.append(None), prefixes.append([]), maps.append(b"")
+                    digests.append(None), prefixes.append([]), maps.append(b""), tallies.append(b"")
                     continue
                 digests.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
                 take = int(needed(n, percent))
@@ -116,18 +118,25 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
                     first = members[:take]
                 prefixes.append(first.view(np.int64))
                 maps.append(bitmap(members))
+                tallies.append(counts(members))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary()),
+                    pa.array(tallies, pa.binary()),
                 ],
-                ["id", "n", "digest", "prefix", "bits"],
+                ["id", "n", "digest", "prefix", "bits", "counts"],
             )
 
-    schema = docs.sparkSession.createDataFrame([], "n long, digest binary, prefix array<long>, bits binary").schema
+    schema = docs.sparkSession.createDataFrame([], "n long, digest binary, prefix array<long>, bits binary, counts binary").schema
     return materialize(docs.select(id_col, text_col).mapInArrow(run, type(schema)([type(schema.fields[0])("id", kind), *schema.fields])), "sets")
 
 
+def counts(members: np.ndarray) -> bytes:
+    found = np.bincount(((members >> np.uint64(33)) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+    return np.minimum(found, 65535).astype(np.uint16).tobytes()
+
+
 class Node:
     __slots__ = ("begin", "end", "low", "high", "any", "all", "label", "children")
 
@@ -274,6 +283,27 @@ def _pairs_of(members: DataFrame, percent: int, small: bool, forest: bool) -> Da
     return sorted_.mapInArrow(run, out).distinct()
 
 
+def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the counts by bucket leave: two sets share at most the lesser count of each bucket (of 65535 or more, any number)."""
+    from pyspark.sql.types import StructField, StructType
+
+    side = lambda k: reps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb")
+
+    def run(batches):
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, COUNTS) for k in (4, 5))
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            full = (np.minimum(x, y) == 65535).any(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(
+                pa.array(full | (most >= least_overlap(na, nb, percent)))
+            )
+
+    kind = pairs.schema["a"].dataType
+    return both.mapInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]))
+
+
 def check_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """The pairs of written table ``pairs`` whose whole sets reach the similarity."""
     from pyspark.sql.types import BinaryType, StructField, StructType
@@ -321,7 +351,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     )
     reps = materialize(
         some.join(least, [some["digest"] == least["digest"], some["id"] == least["rep"]], "left_semi")
-        .select("id", "n", "prefix", "bits").dropDuplicates(["id"]), "reps"
+        .select("id", "n", "prefix", "bits", "counts").dropDuplicates(["id"]), "reps"
     )
     keys = reps.select("id", F.explode("prefix").alias("key"))
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -333,12 +363,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         "other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     ).withColumn("cell", F.least("block", "other") * F.col("k") + F.greatest("block", "other"))
     large = materialize(large.select("key", "cell", "block", "id", "n", "label", "bits"), "large")
-    pairs = materialize(_pairs_of(one, percent, True, False).unionByName(_pairs_of(large, percent, False, True)).distinct(), "pairs")
+    pairs = materialize(_pairs_of(one, percent, True, False).unionByName(_pairs_of(large, percent, False, True)).distinct(), "candidates")
+    pairs = materialize(bounded(pairs, reps, percent), "pairs")
     links = materialize(check_pairs(docs, pairs, id_col, text_col, width, percent), "links")
     labels = connected_components(links, "a", "b")
     joined = large.drop("label").join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left")
     rest = _pairs_of(joined.withColumn("label", F.coalesce("label", "id")), percent, False, False)
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = materialize(bounded(rest.join(pairs, ["a", "b"], "left_anti"), reps, percent), "rest")
     if not rest.isEmpty():
         links = links.unionByName(check_pairs(docs, rest, id_col, text_col, width, percent))
         labels = connected_components(links, "a", "b")
