@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.functions.exact import all_lower, py_trim, similar, title_case
+from attestra.functions.exact import all_lower, let, py_trim, similar, title_case
 from attestra.functions.policy import COUNTRIES, DEGREES, SIMILAR_PERCENT, SKILLS, lookup
 
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -18,9 +18,10 @@ NANP = r"^[2-9](?!11)\d{2}[2-9](?!11)\d{6}$"
 
 def phone(raw: Column) -> Column:
     """E.164: numbers of the North American plan, or behind a plus sign those of the listed calling codes."""
-    text = py_trim(raw)
-    bare = F.regexp_replace(text, r"(?i)\s*(?:ext\.?|x|#)\s*\d{1,6}$", "")
-    digits = F.regexp_replace(bare, r"\D", "")
+    return let(F.regexp_replace(py_trim(raw), r"(?i)\s*(?:ext\.?|x|#)\s*\d{1,6}$", ""), lambda bare: let(F.regexp_replace(bare, r"\D", ""), lambda digits: _phone(bare, digits)))
+
+
+def _phone(bare: Column, digits: Column) -> Column:
     clean = bare.rlike(r"^\+?[\d\s().\-/]+$")
     national = F.when(F.length(digits) == 10, digits).when((F.length(digits) == 11) & digits.startswith("1"), F.substring(digits, 2, 10))
     here = F.when(national.rlike(NANP) & ~bare.startswith("+"), F.concat(F.lit("+1"), national))
@@ -53,8 +54,10 @@ def country(raw: Column, spark: SparkSession | None = None) -> Column:
 
 def month(raw: Column) -> Column:
     """``YYYY-MM``, ``present`` or null. Missing parts are those of January 2000."""
-    text = py_trim(raw)
-    low = F.lower(text)
+    return let(F.lower(py_trim(raw)), _month)
+
+
+def _month(low: Column) -> Column:
     number = lambda s: F.lpad((F.array_position(F.lit(MONTHS), F.substring(s, 1, 3))).cast("string"), 2, "0")
     full = r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\.?"
 
@@ -81,18 +84,21 @@ def month(raw: Column) -> Column:
 
 def date_range(raw: Column) -> Column:
     """struct(start, end), cut once at a dash or the letters ``to``."""
-    parts = F.split(raw, r"(?U)\s*(?:-|–|—|to)\s*", 2)
-    return F.struct(month(F.get(parts, 0)).alias("start"), month(F.get(parts, 1)).alias("end"))
+    return let(F.split(raw, r"(?U)\s*(?:-|–|—|to)\s*", 2), lambda parts: F.struct(
+        month(F.get(parts, F.lit(0))).alias("start"), month(F.get(parts, F.lit(1))).alias("end")))
 
 
 def skill(raw: Column) -> Column:
     """Canonical name by alias, then by similarity to a canonical name, else as written (all-lower text in title case)."""
-    text = py_trim(raw)
+    return let(py_trim(raw), _skill)
+
+
+def _skill(text: Column) -> Column:
     aliases = {alias: name for name, known in SKILLS.items() for alias in known}
     names = F.lit(list(SKILLS))
     close = F.filter(names, lambda n: similar(text, n, SIMILAR_PERCENT))
     return F.when(text != "", F.coalesce(
-        lookup(aliases, F.lower(text)), F.when(F.length(text) >= 2, F.get(close, 0)), F.when(all_lower(text), title_case(text)).otherwise(text)
+        lookup(aliases, F.lower(text)), F.when(F.length(text) >= 2, F.get(close, F.lit(0))), F.when(all_lower(text), title_case(text)).otherwise(text)
     ))
 
 

@@ -1,4 +1,181 @@
-"""Queries over the driver's tables, with their SQL."""
+"""Queries over the driver's tables as evidence, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from attestra.functions import normalize as N
+from attestra.functions.exact import ROUND4_SQL
+from attestra.functions.policy import SOURCE_TRUST, strength, strength_sql
+from attestra.operators import resolve as R
+from attestra.operators.cluster import blocking_keys, clusters, star_edges
+from attestra.operators.evidence import normalize_all, shaped
+from attestra.sources.files import EMAIL, PHONE, contacts, digits, emit, matches
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def round4_sql(value: str) -> str:
+    return ROUND4_SQL.replace("{v}", value)
+
+
+def nor_sql(strengths: str) -> str:
+    """Noisy-OR of a list of strengths in its order."""
+    return round4_sql(f"(1.0::double - list_reduce(list_prepend(1.0::double, list_transform({strengths}, lambda s: 1.0::double - s)), lambda a, b: a * b))")
+
+
+def customer_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers say their segment, orders their priority: conflicting headlines of one entity."""
+    said = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("record_id"), F.lit("recruiter_csv").alias("source"), F.lit(0).alias("source_ord"), F.lit(0).alias("obs_ord"),
+        F.lit("headline").alias("field"), F.lit("structured_field").alias("method"), F.col("c_mktsegment").alias("v_str"))
+    ordered = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("record_id"), F.lit("ats_json").alias("source"), F.lit(1).alias("source_ord"), F.col("o_orderkey").cast("int").alias("obs_ord"),
+        F.lit("headline").alias("field"), F.lit("semi_structured").alias("method"), F.col("o_orderpriority").alias("v_str"))
+    return shaped(said.unionByName(ordered).withColumn("raw_value", F.col("v_str"))).withColumn("cluster_id", F.col("record_id")).withColumn("member", F.col("record_id"))
+
+
+def resolve_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.resolve_single(R.camps(customer_evidence(spark, sf_dir)))
+    p = F.col("provenance")[0]
+    return found.select(
+        F.col("cluster_id").cast("long").alias("entity"), F.col("value.v_str").alias("headline"), "confidence", p["source"].alias("source"),
+        F.array_join(p["conflicted_with"], ",").alias("conflicted_with"), p["decision"].alias("decision"))
+
+
+_HEADLINES = f"""
+with ev as (
+    select c_custkey as entity, 'recruiter_csv' as source, 0 as so, 0 as oo, c_mktsegment as v, {strength_sql("'recruiter_csv'", "'structured_field'")} as s, 1.0::double as trust, 'structured_field' as method from customer
+    union all
+    select o_custkey, 'ats_json', 1, o_orderkey, o_orderpriority, {strength_sql("'ats_json'", "'semi_structured'")}, 0.9::double, 'semi_structured' from orders),
+camps as (
+    select entity, lower(trim(v)) as k, list(s order by so, oo) as ss, max(trust) as trust, min(so * 10000000000 + oo) as seen, list(distinct source order by source) as sources,
+        arg_min(v, so * 10000000000 + oo) as v, arg_max(source, s) as src, arg_max(method, s) as method from ev group by all),
+scored as (select *, {nor_sql("ss")} as nor from camps),
+ranked as (select *, row_number() over (partition by entity order by nor desc, trust desc, length(k), seen) as r from scored),
+lost as (select entity, flatten(list(ss order by seen)) as ss, list_sort(list_distinct(flatten(list(sources)))) as sources from ranked where r > 1 group by entity),
+out as (
+    select w.entity, w.v as headline, case when l.ss is null then w.nor else {round4_sql(f"(w.nor * (1.0::double - 0.45::double * {nor_sql('l.ss')}))")} end as confidence, w.src as source,
+        array_to_string(coalesce(l.sources, []), ',') as conflicted_with, w.method, l.sources
+    from ranked w left join lost l using (entity) where w.r = 1)
+"""
+
+
+def resolve_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(s) for s in SOURCE_TRUST])
+    turn = (F.col("event_id") % 4).cast("int")
+    ev = shaped(table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("record_id"), F.get(names, turn).alias("source"), turn.alias("source_ord"), F.col("event_id").cast("int").alias("obs_ord"),
+        F.lit("skills").alias("field"), F.lit("regex_prose").alias("method"), F.col("event_type").alias("v_str"), F.col("event_type").alias("raw_value"),
+    )).withColumn("cluster_id", F.col("record_id")).withColumn("member", F.col("record_id"))
+    found = R.resolve_multi(R.camps(ev))
+    return found.select(F.col("cluster_id").cast("long").alias("user_id"), F.col("confidence").alias("field_confidence"), F.posexplode(F.arrays_zip("values", "provenance", "item_confidences")).alias("pos", "x")).select(
+        "user_id", "field_confidence", "pos", F.col("x.values.v_str").alias("skill"), F.col("x.item_confidences").alias("confidence"),
+        F.col("x.provenance.source").alias("source"), F.array_join("x.provenance.corroborated_by", ",").alias("corroborated_by"))
+
+
+_SOURCE_SQL = "['" + "', '".join(SOURCE_TRUST) + "'][event_id % 4 + 1]"
+_MULTI = f"""
+with ev as (select user_id, event_id, event_id % 4 as so, {_SOURCE_SQL} as source, event_type as v from events),
+st as (select *, {strength_sql("source", "'regex_prose'")} as s from ev),
+camps as (
+    select user_id, lower(v) as k, list(s order by so, event_id) as ss, arg_max(source, s) as source, arg_min(v, -s) as skill, list(distinct source order by source) as sources from st group by all),
+scored as (select *, {nor_sql("ss")} as confidence, row_number() over (partition by user_id order by k) - 1 as pos from camps),
+mean as (select user_id, {round4_sql("(list_reduce(list_prepend(0.0::double, list(confidence order by k)), lambda a, b: a + b) / count(*))")} as field_confidence from scored group by user_id)
+select user_id, field_confidence, pos::int as pos, skill, confidence, source, array_to_string(list_filter(sources, lambda x: x <> source), ',') as corroborated_by
+from scored join mean using (user_id)"""
+
+
+def contact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("record_id"), F.col("doc_id").alias("record_ord"), "text")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("record_id"), (F.col("page_id") + 1_000_000_000).alias("record_ord"), F.col("html").alias("text"))
+    return normalize_all(emit(docs.unionByName(pages), "resume", *contacts(F.col("text"))))
+
+
+def extract_emails(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(matches(F.col("text"), EMAIL)).alias("pos", "email"))
+
+
+def extract_phones(spark, sf_dir):
+    found = F.filter(matches(F.col("text"), PHONE), lambda m: digits(m) >= 10)
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("pos", "phone"))
+
+
+def normalize_email(spark, sf_dir):
+    return extract_emails(spark, sf_dir).select("doc_id", "pos", N.email(F.col("email")).alias("email"))
+
+
+def normalize_phone(spark, sf_dir):
+    return extract_phones(spark, sf_dir).select("doc_id", "pos", "phone", N.phone(F.col("phone")).alias("e164"))
+
+
+def normalize_month(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.month(day).alias("month"))
+
+
+def normalize_country(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", "n_name", N.country(F.col("n_name"), spark).alias("country"))
+
+
+def normalize_skill(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("token")).distinct().select("token", N.skill(F.col("token")).alias("skill"))
+
+
+def normalize_years(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", N.years(F.get_json_object("props", "$.k")).alias("years"))
+
+
+def strengths(spark, sf_dir):
+    ev = customer_evidence(spark, sf_dir)
+    return ev.groupBy("source", "method").agg(F.count(F.lit(1)).alias("n")).select("source", "method", "n", strength(F.col("source"), F.col("method")).alias("strength"))
+
+
+def blocking(spark, sf_dir):
+    return blocking_keys(contact_evidence(spark, sf_dir)).select("record_id", "key")
+
+
+def stars(spark, sf_dir):
+    return star_edges(blocking_keys(contact_evidence(spark, sf_dir))).select(F.col("u.record_id").alias("record_id"), F.col("v.record_id").alias("hub"))
+
+
+def entities(spark, sf_dir):
+    return clusters(contact_evidence(spark, sf_dir)).select("record_id", "cluster_id")
+
+
+def id_fallback(spark, sf_dir):
+    first = normalize_email(spark, sf_dir).where("email is not null").groupBy("doc_id").agg(F.min("email").alias("email"))
+    return first.select("doc_id", F.concat(F.lit("gen-"), F.substring(F.sha1(F.concat(F.lit("email:"), "email").cast("binary")), 1, 12)).alias("candidate_id"))
+
+
+def links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", R.link_slot(F.col("url")).alias("slot"))
+
+
+_PHONES = "list_filter(regexp_extract_all(text, '\\+?\\d[\\d\\s().\\-]{7,}\\d'), lambda m: length(regexp_replace(m, '\\D', '', 'g')) >= 10)"
+_EMAILS = f"regexp_extract_all(text, '{EMAIL}')"
+
+QUERIES = {
+    "resolve_single": resolve_single, "resolve_multi": resolve_multi, "extract_emails": extract_emails, "extract_phones": extract_phones,
+    "normalize_email": normalize_email, "normalize_phone": normalize_phone, "normalize_month": normalize_month, "normalize_country": normalize_country,
+    "normalize_skill": normalize_skill, "normalize_years": normalize_years, "strength": strengths, "blocking_keys": blocking, "star_edges": stars,
+    "clusters": entities, "id_fallback": id_fallback, "link_slot": links,
+}
+ORACLES = {
+    "resolve_single": _HEADLINES + """
+select entity, case when confidence >= 0.3 then headline end as headline, confidence, source, conflicted_with,
+    'chose value from ' || source || ' (' || method || ')' || case when len(coalesce(sources, [])) > 0 then '; outranked ' || array_to_string(sources, ', ') || ' on source/method trust' else '' end as decision
+from out""",
+    "resolve_multi": _MULTI,
+    "extract_emails": f"select doc_id, (generate_subscripts(l, 1) - 1)::int as pos, unnest(l) as email from (select doc_id, {_EMAILS} as l from documents)",
+    "extract_phones": f"select doc_id, (generate_subscripts(l, 1) - 1)::int as pos, unnest(l) as phone from (select doc_id, {_PHONES} as l from documents)",
+    "normalize_email": f"select doc_id, (generate_subscripts(l, 1) - 1)::int as pos, lower(unnest(l)) as email from (select doc_id, {_EMAILS} as l from documents)",
+    "normalize_month": "select o_orderkey, strftime(o_orderdate, '%Y-%m') as month from orders",
+    "normalize_years": "select event_id, json_extract_string(props, '$.k')::double as years from events",
+    "strength": "select 'recruiter_csv' as source, 'structured_field' as method, count(*) as n, 1.0::double as strength from customer union all select 'ats_json', 'semi_structured', count(*), 0.9::double * 0.85::double from orders",
+    "id_fallback": f"select doc_id, 'gen-' || substr(sha1('email:' || min(email)), 1, 12) as candidate_id from (select doc_id, lower(unnest({_EMAILS})) as email from documents) group by doc_id",
+    "link_slot": "select page_id, case when lower(url) like '%linkedin.com%' then 'linkedin' when lower(url) like '%github.com%' then 'github' when regexp_matches(lower(url), 'portfolio|behance|dribbble') then 'portfolio' else 'other' end as slot from pages",
+}
