@@ -8,7 +8,7 @@ an ``article`` or ``main`` element are the article even where another page has t
 everything to its pair (a copy) keeps its own lines.
 
 Within a host, pages are grouped by URL stem (the path without its last two characters) and by id range, so a group
-has a bounded number of ids and a hot host is spread; the pair is the neighbour with the longer common path.
+has a bounded number of ids and a hot host is spread; the pair is the neighbour of another path with the longer common part.
 
 Null and empty pages give an empty text; null URLs share one empty host; repeated rows each give their row.
 """
@@ -219,9 +219,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for lines, kinds, own, path, p0, h0, p1, h1 in zip(
             lines_, kinds_, hashes_, paths, paths0, hashes0, paths1, hashes1, strict=True
         ):
-            other = h0 or []
-            if p1 is not None and (p0 is None or len(commonprefix([path, p1])) > len(commonprefix([path, p0]))):
-                other = h1 or []
+            near0, near1 = (-1 if p is None or p == path else len(commonprefix([path, p])) for p in (p0, p1))
+            other = (h1 if near1 > near0 else h0) or []
             texts.append(main_text(lines, kinds, shared_lines(own, other)))
         return [keys, urls, texts, [len(t) for t in texts]]
 

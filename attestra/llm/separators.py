@@ -90,7 +90,7 @@ def scan_token_files(spark: SparkSession, path: str, eod: int = EOD, block_ids:
     whole = Window.partitionBy("file")
     stitched = found.select(
         "file", "block", "ends",
-        F.coalesce(F.max(F.element_at("ends", -1)).over(before), F.lit(-1)).alias("carried"),
+        F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before), F.lit(-1)).alias("carried"),
         F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("seen"),
         F.when(F.col("block") == F.max("block").over(whole), F.max("size").over(whole)).alias("file_size"),
     )
@@ -101,7 +101,7 @@ def scan_token_files(spark: SparkSession, path: str, eod: int = EOD, block_ids:
                 seen + i as doc, if(i = 0, carried, ends[i - 1]) + 1 as first_id,
                 e - if(i = 0, carried, ends[i - 1]) - 1 as n_tokens, true as closed))""")).alias("d"),
     )
-    last = F.coalesce(F.element_at("ends", -1), "carried")
+    last = F.coalesce(F.try_element_at("ends", F.lit(-1)), "carried")
     still_open = stitched.where(F.col("file_size").isNotNull() & (F.col("file_size") - 1 > last)).select(
         "file",
         F.struct(
