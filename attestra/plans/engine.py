@@ -15,6 +15,7 @@ from attestra.operators.evidence import normalize_all, shaped
 from attestra.operators.resolve import merge
 from attestra.plans.projection import canonical_view, project
 from attestra.sources.files import ADAPTERS, read_config
+from attestra.sources.shared import materialize
 
 log = logging.getLogger("attestra")
 SOURCES = ["recruiter_csv", "ats_json", "resume", "recruiter_notes"]
@@ -37,7 +38,8 @@ def extract_sources(spark: SparkSession, record_sources: dict[str, dict[str, str
     if ords:
         known = spark.createDataFrame([(r, n, k, record_ord[r]) for (r, n), k in ords.items()], "record_id string, source string, k int, o long")
         out = shaped(out.drop("source_ord", "record_ord").join(known, ["record_id", "source"]).withColumnsRenamed({"k": "source_ord", "o": "record_ord"}))
-    return normalize_all(out)
+    # Read several times below: written once, it is neither parsed again nor folded into every later expression.
+    return materialize(normalize_all(out), "evidence")
 
 
 def run(spark: SparkSession, sources: dict[str, str], config: dict | None = None) -> DataFrame:
