@@ -20,6 +20,8 @@ BUCKETS = 1 << 14
 SMOOTHING = 1.0
 THRESHOLD = -0.045
 MIN_WORDS = 50
+#: Bytes of trusted ids, 64 for each besides its own length, up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 128 << 20
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -81,13 +83,16 @@ def ngram_buckets(grams: Column, buckets: int) -> Column:
 def train(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> list[float]:
     """Log ratio by bucket. All documents are counted; what reaches the driver is one row per bucket.
 
-    ``trusted`` holds the ids of the target documents.
+    ``trusted`` holds the ids of the target documents. They meet the texts before n-grams are made, so at most ids
+    and texts are shuffled, and nothing where the ids are few enough to be broadcast.
     """
-    target_ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().withColumn("__t", F.lit(1))
+    ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
+    size = ids.agg(F.sum(64 + F.octet_length(F.col("__id").cast("string")))).first()[0] or 0
+    target_ids = ids.withColumn("__t", F.lit(1))
     counted = (
-        docs.select(F.col(id_col).alias("__id"), hashed_ngrams(words_of(F.col(text_col)), 2).alias("g"))
-        .join(target_ids, "__id", "left")
-        .select("__t", F.explode(ngram_buckets(F.col("g"), buckets)).alias("b"))
+        docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+        .join(F.broadcast(target_ids) if size <= BROADCAST_BYTES else target_ids, "__id", "left")
+        .select("__t", F.explode(ngram_buckets(hashed_ngrams(words_of(F.col("__text")), 2), buckets)).alias("b"))
         .groupBy("b")
         .agg(F.count(F.lit(1)).alias("raw"), F.count("__t").alias("target"))
     )
@@ -124,7 +129,7 @@ def quality(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets: int = BUCKETS, threshold: float = THRESHOLD, keep_row: bool = False,
 ) -> DataFrame:
-    """Per document: counts, ``base_failed``, ``score`` and ``kept``. Two scans, one shuffle of one row per bucket and task.
+    """Per document: counts, ``base_failed``, ``score`` and ``kept``. Two scans, one shuffle of one row per bucket and task; one more of ids and texts where trusted ids are too many to broadcast.
 
     ``keep_row``: the verdicts stand behind all columns of ``docs``, which must not have their names.
     """

@@ -206,6 +206,28 @@ def test_quality(spark, docs, texts):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_quality_counts_without_broadcast(spark, docs, texts, monkeypatch):
+    def brute(ids):
+        raw, target = [0] * 64, [0] * 64
+        rows = docs.select("doc_id", quality.ngram_buckets(quality.hashed_ngrams(quality.words_of(docs["text"]), 2), 64).alias("b")).collect()
+        for r in rows:
+            for b in r["b"]:
+                raw[b] += 1
+                target[b] += r["doc_id"] in ids
+        return quality.log_ratios(raw, target)
+
+    trusted = spark.createDataFrame([(k,) for k in (None, 5, 5, 7, 12, 10**6)], "doc_id long")
+    want = brute({5, 7, 12})
+    assert quality.train(docs, trusted, "doc_id", "text", 64) == want
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert quality.train(docs, trusted, "doc_id", "text", 64) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_decontamination(spark, docs, texts):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     items = [(1, " ".join(words(texts[6])[10:40])), (2, "one"), (3, None), (4, "..."), (10, texts[7].upper()), (5, "never seen words here at all")]
