@@ -62,6 +62,8 @@ class Transducer:
     COMMIT = 512
     #: A node with at most so many tokens below keeps those that the last token allows, not the last token.
     NARROW = 12
+    #: Remembered pairs, above which they are forgotten and judged anew.
+    PAIRS = 1 << 17
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         self.ranks = ranks
@@ -111,8 +113,10 @@ class Transducer:
         self.states = [start]
         self.compatible_pairs: dict[int, bool] = {}
         self.narrowed: dict = {}
-        #: Transition ids by state and byte, -1 where not yet built.
-        self.step = np.full((1024, 256), -1, np.int32)
+        #: Transition ids, -1 where not yet built, in pages of 16 bytes; a state's pages by high half of the byte, 0 the empty one.
+        self.page_of = np.zeros((1024, 16), np.int32)
+        self.page = np.full((4096, 16), -1, np.int32)
+        self.pages = 1
         #: Of each transition: next state, and where its (parent, token) pairs begin and how many there are.
         self.target, self.begin, self.size = (np.zeros(4096, np.int32) for _ in range(3))
         self.parent, self.output = np.zeros(16384, np.int32), np.zeros(16384, np.int32)
@@ -162,6 +166,8 @@ class Transducer:
                 else:
                     j += 1
                     b, until_b = left[j]
+            if len(self.compatible_pairs) >= self.PAIRS:
+                self.compatible_pairs.clear()
             self.compatible_pairs[key] = known
         return known
 
@@ -204,8 +210,8 @@ class Transducer:
         if target is None:
             target = self.state_id[key] = len(self.states)
             self.states.append(key)
-            if target >= len(self.step):
-                self.step = np.concatenate([self.step, np.full_like(self.step, -1)])
+            if target >= len(self.page_of):
+                self.page_of = np.concatenate([self.page_of, np.zeros_like(self.page_of)])
         made, self.transitions = self.transitions, self.transitions + 1
         if made >= len(self.target):
             self.target, self.begin, self.size = (np.concatenate([x, x]) for x in (self.target, self.begin, self.size))
@@ -215,7 +221,13 @@ class Transducer:
         for parent, token in back:
             self.parent[self.pairs], self.output[self.pairs] = parent, token
             self.pairs += 1
-        self.step[state, byte] = made
+        page = self.page_of[state, byte >> 4]
+        if page == 0:
+            page = self.page_of[state, byte >> 4] = self.pages
+            self.pages += 1
+            if page >= len(self.page):
+                self.page = np.concatenate([self.page, np.full_like(self.page, -1)])
+        self.page[page, byte & 15] = made
         return made
 
     def _trace(self, trail: list[int], hypothesis: int) -> list[tuple[int, int]]:
@@ -244,7 +256,7 @@ class Transducer:
         out: list[int] = []
         state, trail, since = 0, [], 0
         for byte in data:
-            made = self.step[state, byte]
+            made = self.page[self.page_of[state, byte >> 4], byte & 15]
             if made < 0:
                 made = self._build(state, byte)
             state = self.target[made]
@@ -274,11 +286,12 @@ class Transducer:
         for j in range(longest):
             m = active[j]
             column = text[:m, j]
-            made = self.step[state[:m], column]
+            high, low = column >> 4, column & 15
+            made = self.page[self.page_of[state[:m], high], low]
             if len(new := np.flatnonzero(made < 0)):
                 for s, b in set(zip(state[new].tolist(), column[new].tolist(), strict=True)):
                     self._build(s, b)
-                made[new] = self.step[state[new], column[new]]
+                made[new] = self.page[self.page_of[state[new], high[new]], low[new]]
             taken[:m, j] = made
             state[:m] = self.target[made]
         tokens = np.full((len(words), longest), -1, np.int32)
@@ -350,20 +363,27 @@ class StreamDecoder:
 
 
 class _Memo:
-    """A memory of two generations: when the younger is full it becomes the older, and what is used comes back."""
+    """A memory of two generations: when the younger is full it becomes the older, and what is used comes back.
+
+    A generation is full at ``bound`` keys, or at ``CHARS`` characters in its keys, as keys can be whole texts.
+    """
+
+    CHARS = 8_000_000
 
     def __init__(self, bound: int):
         self.bound = bound
+        self.chars = 0
         self.known: dict = {}
         self.older: dict = {}
 
     def unknown(self, keys: set) -> list:
         """The keys that neither generation has; those that the older has move to the younger."""
-        if len(self.known) + len(keys) > self.bound:
-            self.older, self.known = self.known, {}
+        if len(self.known) + len(keys) > self.bound or self.chars > self.CHARS:
+            self.older, self.known, self.chars = self.known, {}, 0
         new = []
         known, older = self.known, self.older
         for key in keys.difference(known):
+            self.chars += len(key)
             value = older.get(key)
             if value is None:
                 new.append(key)
