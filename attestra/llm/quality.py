@@ -2,11 +2,14 @@
 
 Each text is the bag of its words and word pairs, hashed to ``BUCKETS``. Two multinomials with additive
 smoothing are counted over all rows: over the documents that the labels trust and over all documents. A
-document's score is the mean over its n-grams of ``log(p_target / p_raw)``; it passes when the score is at
-least ``THRESHOLD``. Before that stand plain limits on length and repetition.
+document's score is the mean over its n-grams of ``log(p_target / p_raw)``, both counted without the document's own
+fold of ``FOLDS``, so a trusted document is scored like one that has no label. It passes when the score is at least
+the cut that best separates labelled good and bad documents of the same table. Before that stand plain limits on
+length and repetition.
 
 Nulls and texts without words have zero counts and fail; without trusted documents, or on an empty table, the two
-multinomials are alike and every score is 0. Repeated rows count as often as they occur; repeated labels don't.
+multinomials are alike and every score is 0. Without good or without bad labelled documents that pass the plain
+limits there is no cut. Repeated rows count as often as they occur; repeated labels don't.
 """
 
 from __future__ import annotations
@@ -18,7 +21,10 @@ from attestra.llm.common import table
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
-THRESHOLD = -0.045
+#: Parts of the table by hash of the text, so copies are in one; a document is scored by the counts of the others.
+FOLDS = 8
+#: Scores are told apart in steps of this size when the cut is sought.
+STEP = 0.0001
 MIN_WORDS = 50
 #: Bytes of trusted ids, 64 for each besides its own length, up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 128 << 20
@@ -80,26 +86,52 @@ def ngram_buckets(grams: Column, buckets: int) -> Column:
     )
 
 
+def fold_of(text: Column, folds: int) -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(folds)).cast("int")
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """``__id`` and ``__text`` of ``docs`` joined to ``ids``, whose ``__id`` is broadcast where its bytes allow."""
+    size = ids.agg(F.sum(64 + F.octet_length(F.col("__id").cast("string")))).first()[0] or 0
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    return texts.join(F.broadcast(ids) if size <= BROADCAST_BYTES else ids, "__id", how)
+
+
 def train(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> list[float]:
-    """Log ratio by bucket. All documents are counted; what reaches the driver is one row per bucket.
+    """Log ratio by bucket, nothing held out."""
+    return train_folds(docs, trusted, id_col, text_col, buckets, 1)
+
+
+def train_folds(
+    docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS, folds: int = FOLDS
+) -> list[float]:
+    """Log ratio by fold and bucket, one fold after the other, each from the counts of the other folds (of all, where
+    there is one). All documents are counted; what reaches the driver is one row per fold and bucket.
 
     ``trusted`` holds the ids of the target documents. They meet the texts before n-grams are made, so at most ids
     and texts are shuffled, and nothing where the ids are few enough to be broadcast.
     """
-    ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct()
-    size = ids.agg(F.sum(64 + F.octet_length(F.col("__id").cast("string")))).first()[0] or 0
-    target_ids = ids.withColumn("__t", F.lit(1))
+    target_ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().withColumn("__t", F.lit(1))
     counted = (
-        docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-        .join(F.broadcast(target_ids) if size <= BROADCAST_BYTES else target_ids, "__id", "left")
-        .select("__t", F.explode(ngram_buckets(hashed_ngrams(words_of(F.col("__text")), 2), buckets)).alias("b"))
-        .groupBy("b")
+        with_ids(docs, target_ids, id_col, text_col, "left")
+        .select(
+            "__t", (fold_of(F.col("__text"), folds) * buckets).alias("f"),
+            F.explode(ngram_buckets(hashed_ngrams(words_of(F.col("__text")), 2), buckets)).alias("b"),
+        )
+        .groupBy((F.col("f") + F.col("b")).alias("b"))
         .agg(F.count(F.lit(1)).alias("raw"), F.count("__t").alias("target"))
     )
-    raw, target = [0] * buckets, [0] * buckets
+    raw, target = [0] * buckets * folds, [0] * buckets * folds
     for r in counted.collect():
         raw[r["b"]], target[r["b"]] = r["raw"], r["target"]
-    return log_ratios(raw, target)
+    if folds == 1:
+        return log_ratios(raw, target)
+
+    def others(counts: list[int], fold: int) -> list[int]:
+        own = counts[fold * buckets : (fold + 1) * buckets]
+        return [sum(counts[b::buckets]) - n for b, n in enumerate(own)]
+
+    return [x for k in range(folds) for x in log_ratios(others(raw, k), others(target, k))]
 
 
 def log_ratios(raw: list[int], target: list[int], smoothing: float = SMOOTHING) -> list[float]:
@@ -117,25 +149,20 @@ def log_ratios(raw: list[int], target: list[int], smoothing: float = SMOOTHING)
     return out
 
 
-def mean_ratio(grams: Column, ratios: list[float]) -> Column:
-    """Mean of the ratios of all n-grams; 0 without any. The ratios are a literal, folded once."""
+def mean_ratio(grams: Column, ratios: list[float], fold: Column, folds: int) -> Column:
+    """Mean of the fold's ratios of all n-grams; 0 without any. The ratios are a literal, folded once."""
     weights = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-    total = F.aggregate(ngram_buckets(grams, len(ratios)), F.lit(0.0), lambda sum_, b: sum_ + F.get(weights, b))
+    buckets = len(ratios) // folds
+    total = _let(fold * buckets, lambda at: F.aggregate(
+        ngram_buckets(grams, buckets), F.lit(0.0), lambda sum_, b: sum_ + F.get(weights, at + b)
+    ))
     n = F.size(F.element_at(grams, 1)) + F.size(F.element_at(grams, 2))
     return F.when(n == 0, F.lit(0.0)).otherwise(total / n)
 
 
-def quality(
-    docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    buckets: int = BUCKETS, threshold: float = THRESHOLD, keep_row: bool = False,
-) -> DataFrame:
-    """Per document: counts, ``base_failed``, ``score`` and ``kept``. Two scans, one shuffle of one row per bucket and task; one more of ids and texts where trusted ids are too many to broadcast.
-
-    ``keep_row``: the verdicts stand behind all columns of ``docs``, which must not have their names.
-    """
-    ratios = train(docs, trusted, id_col, text_col, buckets)
+def measured(docs: DataFrame, own: list[Column], text_col: str, ratios: list[float], folds: int) -> DataFrame:
+    """Columns ``own``, counts, ``score`` and ``base_failed``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = [F.col(f"`{c}`") for c in docs.columns] if keep_row else [F.col(id_col)]
     base = docs.select(
         *own,
         text.alias("__text"),
@@ -148,18 +175,74 @@ def quality(
         _let(F.filter(F.split("__text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))),
              lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         repeated_words(F.element_at("__grams", 3), 3).cast("long").alias("n_repeat_words"),
-        mean_ratio(F.col("__grams"), ratios).alias("score"),
+        mean_ratio(F.col("__grams"), ratios, fold_of(F.col("__text"), folds), folds).alias("score"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return base.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    return base.withColumn("base_failed", failed)
+
+
+def best_cut(good: dict[int, int], bad: dict[int, int]) -> float:
+    """Cut with the least sum of the shares of good below it and of bad not below it, from documents by step of score;
+    of equal cuts the middle of the widest gap, the lowest first. Without good or without bad, minus infinity."""
+    n_good, n_bad = sum(good.values()), sum(bad.values())
+    if not n_good or not n_bad:
+        return float("-inf")
+    steps = sorted({*good, *bad})
+    # Errors times both numbers, so they are whole; first that of a cut below all.
+    wrong = n_bad * n_good
+    least, width, cut = wrong, float("inf"), float("-inf")
+    for k, step in enumerate(steps):
+        wrong += good.get(step, 0) * n_bad - bad.get(step, 0) * n_good
+        after = steps[k + 1] if k + 1 < len(steps) else step + 1
+        if wrong < least or wrong == least and after - step > width:
+            least, width, cut = wrong, after - step, (step + 1 + after) / 2 * STEP
+    return cut
+
+
+def labelled_cut(
+    docs: DataFrame, trusted: DataFrame, distrusted: DataFrame, ratios: list[float], id_col: str, text_col: str, folds: int
+) -> float:
+    """``best_cut`` of all labelled documents that pass the plain limits; what reaches the driver is one row per step of score."""
+    ids = [
+        x.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().withColumn("__good", F.lit(good))
+        for x, good in ((trusted, True), (distrusted, False))
+    ]
+    labelled = with_ids(docs, ids[0].unionByName(ids[1]), id_col, text_col, "inner").withColumnRenamed("__text", "__labelled")
+    steps = measured(labelled, [F.col("__good")], "__labelled", ratios, folds).where("not base_failed")
+    counts: dict[bool, dict[int, int]] = {True: {}, False: {}}
+    for r in steps.groupBy("__good", F.floor(F.col("score") / STEP).alias("step")).count().collect():
+        counts[r["__good"]][r["step"]] = r["count"]
+    return best_cut(counts[True], counts[False])
+
+
+def quality(
+    docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    buckets: int = BUCKETS, distrusted: DataFrame | None = None, keep_row: bool = False, folds: int = FOLDS,
+) -> DataFrame:
+    """Per document: counts, ``base_failed``, ``score`` and ``kept``. Two scans and one of labelled documents, one shuffle
+    of one row per fold, bucket and task; two more of ids and texts where labelled ids are too many to broadcast.
+
+    ``distrusted``: ids of the documents labelled bad; without them no score is cut. ``keep_row``: the verdicts stand
+    behind all columns of ``docs``, which must not have their names.
+    """
+    ratios = train_folds(docs, trusted, id_col, text_col, buckets, folds)
+    cut = float("-inf") if distrusted is None else labelled_cut(docs, trusted, distrusted, ratios, id_col, text_col, folds)
+    own = [F.col(f"`{c}`") for c in docs.columns] if keep_row else [F.col(id_col)]
+    base = measured(docs, own, text_col, ratios, folds)
+    return base.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cut))
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where(F.col("quality") == 1).select(id_col)
 
 
+def distrusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return labels.where(F.col("quality") == 0).select(id_col)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    scored = quality(table(spark, sf_dir, "documents"), trusted_ids(labels), distrusted=distrusted_ids(labels))
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"
     )

@@ -15,7 +15,8 @@ from attestra.llm.common import materialize, table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; its verdict joins back by a row's own columns, without a shuffle."""
-    verdict = quality.quality(docs, quality.trusted_ids(table(spark, sf_dir, "labels")), keep_row=True)
+    labels = table(spark, sf_dir, "labels")
+    verdict = quality.quality(docs, quality.trusted_ids(labels), distrusted=quality.distrusted_ids(labels), keep_row=True)
     return verdict.where("kept").select(*docs.columns)
 
 

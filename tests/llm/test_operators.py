@@ -228,6 +228,27 @@ def test_quality_counts_without_broadcast(spark, docs, texts, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_quality_cut():
+    assert quality.best_cut({5: 1}, {}) == quality.best_cut({}, {5: 1}) == float("-inf")
+    assert quality.best_cut({9: 2, 10: 1}, {1: 3, 3: 1}) == pytest.approx(6.5 * quality.STEP)
+    assert quality.best_cut({0: 1, 9: 9}, {-5: 1, 4: 1}) == pytest.approx(7 * quality.STEP)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_quality_keeps_clean_texts_without_a_label(spark, sf):
+    def marked(text):
+        w = text.split()
+        return sum(x[-1] in "%$#&*|<>!" for x in w) > 0.3 * len(w) or sum(x.isupper() and len(x) > 1 for x in w) > 0.3 * len(w)
+
+    d = f"/root/testdata/{sf}"
+    labelled = {r["doc_id"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    rows = [r for r in quality.query(spark, d).collect() if r["doc_id"] not in labelled and not r["base_failed"]]
+    clean, junk = ([r["kept"] for r in rows if marked(texts[r["doc_id"]]) == m] for m in (False, True))
+    assert sum(clean) >= 0.95 * len(clean)
+    assert sum(junk) <= 0.2 * len(junk) or sf == "sf0.001"  # six bad labelled documents set the cut there
+
+
 def test_decontamination(spark, docs, texts):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     items = [(1, " ".join(words(texts[6])[10:40])), (2, "one"), (3, None), (4, "..."), (10, texts[7].upper()), (5, "never seen words here at all")]
