@@ -220,7 +220,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             lines_, kinds_, hashes_, paths, paths0, hashes0, paths1, hashes1, strict=True
         ):
             near0, near1 = (-1 if p is None or p == path else len(commonprefix([path, p])) for p in (p0, p1))
-            other = (h1 if near1 > near0 else h0) or []
+            other = (h1 if near1 > near0 else h0 if near0 >= 0 else None) or []
             texts.append(main_text(lines, kinds, shared_lines(own, other)))
         return [keys, urls, texts, [len(t) for t in texts]]
 

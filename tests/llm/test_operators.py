@@ -112,6 +112,15 @@ def test_html(spark):
     assert got == {1: "A & B\nx y z\nShared", 2: "Own <two>", 3: "", 4: "", 5: "alone", 6: "alone"}
 
 
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_versions_of_one_url_are_no_pair(spark):
+    rows = [(k, "http://a.example/x", f"<p>same text<p>seen on day {k}") for k in (1, 2, 3)]
+    assert extracted(spark, rows) == {k: f"same text\nseen on day {k}" for k in (1, 2, 3)}
+
+
 def test_longest_common_subsequence():
     for _ in range(300):
         a, b = ([RNG.randint(0, 4) for _ in range(RNG.randint(0, 12))] for _ in range(2))
