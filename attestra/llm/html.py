@@ -7,8 +7,7 @@ adverts, forms, scripts, comments) are recognised by their names. An exact check
 an ``article`` or ``main`` element are the article even where another page has them too, and a page that would lose
 everything to its pair (a copy) keeps its own lines.
 
-Within a host, pages are grouped by URL stem (the path without its last two characters) and by id range, so a group
-has a bounded number of ids and a hot host is spread; the pair is the neighbour of another path with the longer common part.
+The pair is the neighbour among the host's distinct paths, sorted, with the longer common part.
 
 Null and empty pages give an empty text; null URLs share one empty host; repeated rows each give their row.
 """
@@ -23,7 +22,7 @@ from os.path import commonprefix
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestra.llm.common import map_rows, table
+from attestra.llm.common import map_rows, materialize, table
 
 #: Elements that are never the article.
 SKIPPED = frozenset(
@@ -184,44 +183,69 @@ def main_text(lines: list[str], kinds: list[int], shared: list[bool]) -> str:
     return "\n".join(kept)
 
 
-#: Ids of a page group.
-GROUP_IDS = 4096
+def nearest_paths(paths: DataFrame) -> DataFrame:
+    """Of distinct rows (host, path): ``path`` and ``partner``, its neighbour in the host's sorted paths with the longer common part, or null.
+
+    Paths are sorted by range, so a hot host is spread; of each range the first and last path reach the driver, and
+    stand in for the neighbours that its outermost paths have in the ranges beside it.
+    """
+    ranged = materialize(
+        paths.repartitionByRange("host", "path").withColumn("part", F.spark_partition_id()), "paths"
+    )
+    key = F.struct("host", "path")
+    ends = sorted(ranged.groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high")).collect(), key=lambda r: r["part"])
+    kind = "part int, before struct<host:string,path:string>, after struct<host:string,path:string>"
+    beside = paths.sparkSession.createDataFrame(
+        [(r["part"], ends[k - 1]["high"] if k else None, ends[k + 1]["low"] if k + 1 < len(ends) else None) for k, r in enumerate(ends)], kind
+    )
+    order = Window.partitionBy("part").orderBy("host", "path")
+    near = ranged.select("*", F.lag(key).over(order).alias("prev"), F.lead(key).over(order).alias("next")).join(F.broadcast(beside), "part")
+
+    def choose(hosts, paths_, before, after):
+        partners = []
+        for host, path, *both in zip(hosts, paths_, before, after, strict=True):
+            found = [n["path"] for n in both if n and n["host"] == host]
+            partners.append(max(found, key=lambda p: len(commonprefix([path, p])), default=None))
+        return [hosts, paths_, partners]
+
+    return map_rows(
+        near.select("host", "path", F.coalesce("prev", "before"), F.coalesce("next", "after")), choose, "host string, path string, partner string"
+    )
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per page: id, URL, main text and its length. One shuffle, of lines and their hashes, over many small groups."""
+    """Per page: id, URL, main text and its length. Shuffles paths, one page's line hashes a path, and pages' lines."""
     id_kind = dict(pages.dtypes)[id_col]
 
-    def lines_of(keys, urls, htmls):
+    def lines_of(keys, urls, htmls, hosts, paths):
         found = [text_lines(h) for h in htmls]
-        return [keys, urls, [f[0] for f in found], [f[1] for f in found], [[_hash(x) for x in f[0]] for f in found]]
+        return [keys, urls, hosts, paths, [f[0] for f in found], [f[1] for f in found]]
 
-    lines = map_rows(
-        pages.select(id_col, url_col, html_col), lines_of,
-        f"id {id_kind}, url string, lines array<string>, kinds array<tinyint>, hashes array<long>",
+    def hashes_of(hosts, paths, keys, htmls):
+        return [hosts, paths, keys, [[_hash(x) for x in text_lines(h)[0]] for h in htmls]]
+
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    located = pages.select(
+        id_col, url_col, html_col, F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("__host"),
+        F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"(/|\.html?)?([?#].*)?$", "").alias("__path"),
     )
-    url = F.coalesce("url", F.lit(""))
-    located = lines.withColumn("host", F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))).withColumn(
-        "path", F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"(/|\.html?)?([?#].*)?$", "")
+    full = located.where(F.length(html_col) > 0).select(F.col("__host").alias("host"), F.col("__path").alias("path"), F.col(id_col).alias("id"), html_col)
+    pairs = nearest_paths(full.select("host", "path").distinct())
+    # Of a path's pages the one of least id stands for it.
+    one = map_rows(full, hashes_of, f"host string, path string, id {id_kind}, hashes array<long>").groupBy("host", F.col("path").alias("partner")).agg(
+        F.min(F.struct("id", "hashes"))["hashes"].alias("other")
     )
-    group = Window.partitionBy(
-        "host", F.substring("path", 1, 1 << 20).substr(F.lit(1), F.greatest(F.length("path") - 2, F.lit(0))),
-        F.floor(F.coalesce(F.crc32(F.col("id").cast("string")), F.lit(0)) % 16 if id_kind == "string" else F.col("id") / GROUP_IDS),
-    ).orderBy("path", "id")
-    paired = located.select(
-        "id", "url", "lines", "kinds", "hashes", "path",
-        F.lag("path").over(group).alias("path0"), F.lag("hashes").over(group).alias("hashes0"),
-        F.lead("path").over(group).alias("path1"), F.lead("hashes").over(group).alias("hashes1"),
+    others = pairs.where("partner is not null").join(one, ["host", "partner"]).select("host", "path", "other")
+    lines = map_rows(
+        located, lines_of, f"id {id_kind}, url string, host string, path string, lines array<string>, kinds array<tinyint>",
     )
+    paired = lines.join(others, ["host", "path"], "left").select("id", "url", "lines", "kinds", "other")
 
-    def difference(keys, urls, lines_, kinds_, hashes_, paths, paths0, hashes0, paths1, hashes1):
-        texts = []
-        for lines, kinds, own, path, p0, h0, p1, h1 in zip(
-            lines_, kinds_, hashes_, paths, paths0, hashes0, paths1, hashes1, strict=True
-        ):
-            near0, near1 = (-1 if p is None or p == path else len(commonprefix([path, p])) for p in (p0, p1))
-            other = (h1 if near1 > near0 else h0 if near0 >= 0 else None) or []
-            texts.append(main_text(lines, kinds, shared_lines(own, other)))
+    def difference(keys, urls, lines_, kinds_, others_):
+        texts = [
+            main_text(lines, kinds, shared_lines([_hash(x) for x in lines], other or []))
+            for lines, kinds, other in zip(lines_, kinds_, others_, strict=True)
+        ]
         return [keys, urls, texts, [len(t) for t in texts]]
 
     return map_rows(paired, difference, f"`{id_col}` {id_kind}, `{url_col}` string, text string, n_chars long")

@@ -121,6 +121,13 @@ def test_html_versions_of_one_url_are_no_pair(spark):
     assert extracted(spark, rows) == {k: f"same text\nseen on day {k}" for k in (1, 2, 3)}
 
 
+def test_html_pairs_in_the_whole_host(spark):
+    rows = [(k * 5000, f"http://a.example/{w}", f"<p>top of the site<p>own {w}<p>end of the site") for k, w in enumerate(["apple-pie", "bread", "corn-soup", "dill"])]
+    rows += [(7, "http://b.example/bread", "<p>top of the site<p>own"), (8, "http://a.example/bread", "<p>top of the site<p>own too<p>end of the site")]
+    got = extracted(spark, rows)
+    assert got == {0: "own apple-pie", 5000: "own bread", 10000: "own corn-soup", 15000: "own dill", 7: "top of the site\nown", 8: "own too"}
+
+
 def test_longest_common_subsequence():
     for _ in range(300):
         a, b = ([RNG.randint(0, 4) for _ in range(RNG.randint(0, 12))] for _ in range(2))
