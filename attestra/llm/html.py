@@ -3,9 +3,9 @@
 A page becomes the text lines of its blocks. Pages are paired with the page of nearest URL path within the host; the
 two pages' lines are aligned by longest common subsequence, and shared lines, which are the site's
 and not the page's, are deleted. Elements that are never the article (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, comments) are recognised by their names. An exact check follows: lines inside
-an ``article`` or ``main`` element are the article even where another page has them too, and a page that would lose
-everything to its pair (a copy) keeps its own lines.
+adverts, forms, scripts, comments) are recognised by their names. An exact check follows: where the pair has half or
+more of the text inside the ``article`` or ``main`` element too, the page is a copy and keeps that element's lines, and
+a page that would lose everything to its pair keeps its own lines.
 
 The pair is the neighbour among the host's distinct paths, sorted, with the longer common part.
 
@@ -174,12 +174,11 @@ def _hash(line: str) -> int:
 
 
 def main_text(lines: list[str], kinds: list[int], shared: list[bool]) -> str:
-    has_article = 2 in kinds
-    if has_article:
-        kept = [t for t, k in zip(lines, kinds, strict=True) if k == 2]
-    else:
-        own = [(t, s) for t, k, s in zip(lines, kinds, shared, strict=True) if k]
-        kept = [t for t, s in own if not s] or [t for t, _ in own]
+    """Lines that the difference leaves. Where half or more of the article's text is shared, the page is a copy and its article is restored."""
+    rows = [(t, k, s) for t, k, s in zip(lines, kinds, shared, strict=True) if k]
+    article = [(len(t), s) for t, k, s in rows if k == 2]
+    copied = 2 * sum(n for n, s in article if s) >= sum(n for n, _ in article) > 0
+    kept = [t for t, k, s in rows if not s or copied and k == 2] or [t for t, _, _ in rows]
     return "\n".join(kept)
 
 

@@ -121,6 +121,13 @@ def test_html_versions_of_one_url_are_no_pair(spark):
     assert extracted(spark, rows) == {k: f"same text\nseen on day {k}" for k in (1, 2, 3)}
 
 
+def test_html_difference_decides_beside_an_article(spark):
+    rows = [(k, f"http://a.example/{k}", f"<p>By {k}<article><p>{'own words of page %d ' % k * 3}<p>Read more</article><p>Read on") for k in (1, 2)]
+    assert extracted(spark, rows) == {k: f"By {k}\n{('own words of page %d ' % k * 3).strip()}" for k in (1, 2)}
+    rows = [(k, f"http://a.example/{k}", f"<p>top<article><p>a copied text<p>{k}</article>") for k in (1, 2)]
+    assert extracted(spark, rows) == {k: f"a copied text\n{k}" for k in (1, 2)}
+
+
 def test_html_pairs_in_the_whole_host(spark):
     rows = [(k * 5000, f"http://a.example/{w}", f"<p>top of the site<p>own {w}<p>end of the site") for k, w in enumerate(["apple-pie", "bread", "corn-soup", "dill"])]
     rows += [(7, "http://b.example/bread", "<p>top of the site<p>own"), (8, "http://a.example/bread", "<p>top of the site<p>own too<p>end of the site")]
