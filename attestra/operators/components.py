@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestra.sources.shared import materialize
+from attestra.sources.shared import discard, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, src: str = "u", dst: str = "v", max_r
     )
     before = None
     for _ in range(max_rounds):
-        current = materialize(_stars(_stars(current, True), False), "cc")
+        last, current = current, materialize(_stars(_stars(current, True), False), "cc")
+        discard(last)
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
