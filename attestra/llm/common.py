@@ -6,14 +6,23 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attestra.sources.shared import materialize, shared_path  # noqa: F401
+from attestra.sources.shared import discard, materialize, shared_path  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 #: Rows that are Python objects at a time.
 SLICE = 1000
+#: Bytes of a join's side, 64 for each row besides its key's own length, up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, key: str) -> DataFrame:
+    """``df``, hinted to be broadcast where its rows, measured by ``key``, are few enough; else joined by a shuffle."""
+    found = df.agg(F.sum(64 + F.octet_length(F.col(key).cast("string")))).first()[0] or 0
+    return F.broadcast(df) if found <= BROADCAST_BYTES else df
 
 
 def map_rows(

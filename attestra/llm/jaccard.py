@@ -1,47 +1,58 @@
 """Exact n-gram Jaccard join by signature trees over the buckets of a prefix filter.
 
-Each document is its set of word shingles, hashed to 64 bits. Documents of the same set are one representative.
-Two sets of similarity ``percent`` or more share a member among the first ``n - ceil(percent n / 100) + 1`` of
-either in any common order, so representatives are bucketed by those members; shingles that a sample finds
-frequent come last in the order, which only affects the size of buckets. In a bucket a tree is built over the
-members sorted by size: a node holds the OR and the AND of its members' bitmaps and their range of sizes. A dual
+Each text is its set of word shingles, hashed to 64 bits. Texts of one set are one representative, known by the
+set's digest. Two sets of similarity ``percent`` or more share a member among the first
+``n - ceil(percent n / 100) + 1`` of either in any common order, so representatives are bucketed by those members;
+shingles that a sample finds frequent come last in the order, which only affects the size of buckets. Of buckets with
+the same members one is kept.
+
+In a bucket the representatives stand in signature trees, one for each width of bitmap; a bitmap has 4 to 8 bits a member,
+so it stays sparse. A node holds the OR and the AND of its members' bitmaps and their range of sizes. A dual
 traversal goes down only pairs of nodes whose largest possible overlap reaches what their least sizes need. What
 is left is checked exactly on the whole sets.
 
-In a large bucket the traversal first gives one tentative link for each two groups it joins; after those are checked, a
-second traversal gives all remaining pairs between different components, so no link between
-components is lost. Buckets above ``BLOCK`` members are cut into blocks that meet pairwise in tasks of their own.
+Links are sought in rounds, so that a group of near copies doesn't emit its pairs:
 
-Nulls, empty texts and texts without words have no shingles and link with nothing; shorter texts than a shingle are one
-shingle; repeated rows of an id are taken once for links. Other columns are not read. An empty table gives an empty one.
+1. in buckets of up to ``SMALL`` all pairs that the bounds leave; in larger ones, cut into blocks of about ``BLOCK`` by hash,
+   only pairs that join two groups of their block (a forest, fewer pairs than members);
+2. where there are several blocks, the same between one delegate of each component in the bucket, until it adds nothing;
+3. in buckets that still hold several components, all pairs between different ones that the bounds leave and that were
+   not checked before. Large components have blocks of their own, which never meet each other.
+
+So no link between components is lost. What is emitted beyond the forests are pairs that barely miss the similarity.
+
+Nulls, empty texts and texts without words have no shingles and link with nothing; their component is their id. Shorter texts
+than a shingle are one shingle. Rows of one id are one document, so all texts of an id are in one component; repeated rows
+each give their row. A null id links with nothing and has a null component. Other columns are not read. An empty table
+gives an empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from attestra.llm.common import SLICE, materialize, table
+from attestra.llm.common import SLICE, broadcast_if_small, discard, materialize, table
 from attestra.llm.shingles import shingle_sets
 from attestra.operators.components import connected_components
 
 WIDTH = 3
 PERCENT = 90
-#: Documents in the sample that finds frequent shingles, and in how many of them a frequent one is.
-SAMPLE, FREQUENT = 4096, 3
-#: 64-bit words of a bitmap.
-WORDS = 8
+#: Documents in the sample that finds frequent shingles, in how many of them a frequent one is, and how many are told apart.
+SAMPLE, FREQUENT, MOST_FREQUENT = 8192, 2, 1 << 20
+#: Bits of a bitmap: the power of two from 4 times the members on, within these.
+BITS_LOW, BITS_HIGH = 64, 1 << 15
 LEAF = 32
 #: Buckets up to SMALL give all their pairs at once; above BLOCK they are cut.
 SMALL, BLOCK = 8, 2000
-#: Buckets of the members' counts that bound the overlap of a pair once more before whole sets are fetched.
-COUNTS = 512
-#: Pairs of documents to check: up to so many ids are broadcast to pick the texts, more are joined.
-BROADCAST_IDS = 2_000_000
+#: Rounds between delegates at most; what they leave is found by the last round.
+DELEGATE_ROUNDS = 4
 #: Texts hashed together.
 STEP_CHARS = 1_000_000
 
@@ -51,6 +62,11 @@ def needed(size: np.ndarray | int, percent: int):
     return size - -(-percent * size // 100) + 1
 
 
+def least_overlap(a, b, percent: int):
+    """Members that sets of sizes ``a`` and ``b`` must share."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
 def sets_in_steps(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
     at = 0
     while at < len(texts):
@@ -69,131 +85,170 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bitmap(members: np.ndarray) -> bytes:
-    bits = np.zeros(WORDS * 64, np.uint8)
-    bits[(members >> np.uint64(17)) % np.uint64(WORDS * 64)] = 1
+    width = min(max(BITS_LOW, 1 << (4 * len(members) - 1).bit_length()), BITS_HIGH)
+    bits = np.zeros(width, np.uint8)
+    bits[((members >> np.uint64(17)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
-def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, width: int) -> np.ndarray:
-    """Shingles of at least FREQUENT documents of a sample by hash of the id, of SAMPLE documents or so."""
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps in the last axis, made ``words`` wide by OR of their halves."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+def digest_of(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
+def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of at least FREQUENT documents of a sample by hash of the id, of SAMPLE documents or so, and in how many they are."""
     n = docs.select(id_col).count()
     part = int(min(1.0, SAMPLE / max(n, 1)) * 1_000_000)
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < part).select(text_col)
 
     def members(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sets = list(sets_in_steps(batch.column(0).to_pylist(), width))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["s"])
 
     counted = some.mapInArrow(members, "s long").groupBy("s").count().where(F.col("count") >= FREQUENT)
-    return np.sort(np.array([r[0] for r in counted.select("s").collect()], np.int64).view(np.uint64))
+    rows = counted.orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).collect()
+    found = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r[1] for r in rows], np.int64)[order]
 
 
-def describe(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """Per document: id, size of its set, digest of the set, prefix and bitmap; written to the shared folder."""
-    import hashlib
+def prefix_of(members: np.ndarray, take: int, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The first ``take`` members: by hash, those that the sample finds frequent last, the most frequent at the end."""
+    if not len(common):
+        return members[:take]
+    at = np.minimum(np.searchsorted(common, members), len(common) - 1)
+    rare = common[at] != members
+    first = members[rare][:take]
+    if len(first) < take:
+        others, often = members[~rare], seen[at[~rare]]
+        first = np.concatenate([first, others[np.lexsort((others, often))[: take - len(first)]]])
+    return first
 
+
+def describe(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Per row: id, size of its set, digest of the set, prefix and bitmap; written to the shared folder."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, id_col, text_col, width))
-    kind = docs.schema[id_col].dataType
 
     def run(batches):
-        common = frequent.value
+        common, seen = frequent.value
         for batch in sliced(batches):
-            sizes, digests, prefixes, maps, tallies = [], [], [], [], []
+            sizes, digests, prefixes, maps = [], [], [], []
             for members in sets_in_steps(batch.column(1).to_pylist(), width):
                 n = len(members)
                 sizes.append(n)
-                if not n:
-                    digests.append(None), prefixes.append([]), maps.append(b""), tallies.append(b"")
-                    continue
-                digests.append(hashlib.blake2b(members.tobytes(), digest_size=16).digest())
-                take = int(needed(n, percent))
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, members), len(common) - 1)
-                    rare = common[at] != members
-                    first = members[rare][:take]
-                    if len(first) < take:
-                        first = np.concatenate([first, members[~rare][: take - len(first)]])
-                else:
-                    first = members[:take]
-                prefixes.append(first.view(np.int64))
-                maps.append(bitmap(members))
-                tallies.append(counts(members))
+                digests.append(digest_of(members) if n else None)
+                prefixes.append(prefix_of(members, int(needed(n, percent)), common, seen).view(np.int64) if n else None)
+                maps.append(bitmap(members) if n else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())), pa.array(maps, pa.binary()),
-                    pa.array(tallies, pa.binary()),
                 ],
-                ["id", "n", "digest", "prefix", "bits", "counts"],
+                ["id", "n", "digest", "prefix", "bits"],
             )
 
-    schema = docs.sparkSession.createDataFrame([], "n long, digest binary, prefix array<long>, bits binary, counts binary").schema
-    return materialize(docs.select(id_col, text_col).mapInArrow(run, type(schema)([type(schema.fields[0])("id", kind), *schema.fields])), "sets")
-
-
-def counts(members: np.ndarray) -> bytes:
-    found = np.bincount(((members >> np.uint64(33)) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
-    return np.minimum(found, 65535).astype(np.uint16).tobytes()
+    schema = StructType([
+        StructField("id", docs.schema[id_col].dataType), StructField("n", LongType()), StructField("digest", BinaryType()),
+        StructField("prefix", ArrayType(LongType())), StructField("bits", BinaryType()),
+    ])
+    return materialize(docs.select(id_col, text_col).mapInArrow(run, schema), "sets")
+
+
+class Members:
+    """Members of a bucket in order of size, their bitmaps in one array for each width."""
+
+    def __init__(self, sizes: np.ndarray, bits: list[bytes]):
+        self.sizes = sizes
+        words = np.array([len(b) // 8 for b in bits])
+        self.words, self.row, self.maps = words, np.zeros(len(bits), np.int64), {}
+        for w in np.unique(words).tolist():
+            places = np.flatnonzero(words == w)
+            self.row[places] = np.arange(len(places))
+            self.maps[w] = np.frombuffer(b"".join([bits[k] for k in places]), np.uint64).reshape(-1, w)
+
+    def reach(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the bitmaps of places ``i`` and ``j``, pair by pair, let the sets overlap enough."""
+        good = np.zeros(len(i), bool)
+        kinds = self.words[i] << 32 | self.words[j]
+        for kind in np.unique(kinds).tolist():
+            v, w = kind >> 32, kind & 0xFFFFFFFF
+            pairs = np.flatnonzero(kinds == kind)
+            for part in np.array_split(pairs, len(pairs) * min(v, w) // 4_000_000 + 1):
+                p, q = i[part], j[part]
+                x, y = folded(self.maps[v][self.row[p]], min(v, w)), folded(self.maps[w][self.row[q]], min(v, w))
+                sx, sy = self.sizes[p], self.sizes[q]
+                most = np.minimum(sx - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), sy - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+                good[part] = most >= least_overlap(sx, sy, percent)
+        return good
 
 
 class Node:
-    __slots__ = ("begin", "end", "low", "high", "any", "all", "label", "children")
-
-    def __init__(self, begin, end, sizes, bits, labels, children=()):
-        self.begin, self.end, self.children = begin, end, children
-        self.low, self.high = int(sizes[begin]), int(sizes[end - 1])
-        self.any = np.bitwise_or.reduce(bits[begin:end], 0)
-        self.all = np.bitwise_and.reduce(bits[begin:end], 0)
-        self.label = labels[begin] if (labels[begin:end] == labels[begin]).all() else None
-
-
-def build_tree(sizes: np.ndarray, bits: np.ndarray, labels: np.ndarray) -> Node:
-    """Members must be sorted by size."""
-    level = [Node(k, min(k + LEAF, len(sizes)), sizes, bits, labels) for k in range(0, len(sizes), LEAF)]
-    while len(level) > 1:
-        level = [
-            Node(level[k].begin, level[min(k + 4, len(level)) - 1].end, sizes, bits, labels, tuple(level[k : k + 4]))
-            for k in range(0, len(level), 4)
-        ]
-    return level[0]
+    __slots__ = ("places", "low", "high", "any", "all", "children")
+
+    def __init__(self, places: np.ndarray, sizes: np.ndarray, bits: np.ndarray | None, children: tuple[Node, ...] = ()):
+        self.places, self.children = places, children
+        self.low, self.high = int(sizes[places[0]]), int(sizes[places[-1]])
+        if children:
+            self.any = np.bitwise_or.reduce([c.any for c in children])
+            self.all = np.bitwise_and.reduce([c.all for c in children])
+        else:
+            self.any, self.all = np.bitwise_or.reduce(bits, 0), np.bitwise_and.reduce(bits, 0)
 
 
-def least_overlap(a, b, percent: int):
-    """Members that sets of sizes ``a`` and ``b`` must share."""
-    return -(-percent * (a + b) // (100 + percent))
+def signature_trees(members: Members) -> list[Node]:
+    """One tree for each width of bitmap over the members of that width, which are in order of size."""
+    trees = []
+    for words, maps in members.maps.items():
+        places = np.flatnonzero(members.words == words)
+        level = [Node(places[k : k + LEAF], members.sizes, maps[k : k + LEAF]) for k in range(0, len(places), LEAF)]
+        while len(level) > 1:
+            level = [
+                Node(np.concatenate([n.places for n in level[k : k + 4]]), members.sizes, None, tuple(level[k : k + 4]))
+                for k in range(0, len(level), 4)
+            ]
+        trees += level
+    return trees
 
 
 def possible(a: Node, b: Node, percent: int) -> bool:
     """Whether members of the two nodes can overlap enough: a member has at most its size less the bits it has alone."""
-    if a.label is not None and a.label == b.label:
-        return False
     if 100 * a.high < percent * b.low or 100 * b.high < percent * a.low:
         return False
-    most = min(a.high - int(np.bitwise_count(a.all & ~b.any).sum()), b.high - int(np.bitwise_count(b.all & ~a.any).sum()))
+    words = min(len(a.any), len(b.any))
+    any_a, all_a, any_b, all_b = (folded(x, words) for x in (a.any, a.all, b.any, b.all))
+    most = min(a.high - int(np.bitwise_count(all_a & ~any_b).sum()), b.high - int(np.bitwise_count(all_b & ~any_a).sum()))
     return most >= least_overlap(a.low, b.low, percent)
 
 
-def leaf_pairs(a: Node, b: Node, sizes, bits, labels, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    x, y = bits[a.begin : a.end, None], bits[None, b.begin : b.end]
-    sx, sy = sizes[a.begin : a.end, None], sizes[None, b.begin : b.end]
-    most = np.minimum(sx - np.bitwise_count(x & ~y).sum(2), sy - np.bitwise_count(y & ~x).sum(2))
-    good = (most >= least_overlap(sx, sy, percent)) & (labels[a.begin : a.end, None] != labels[None, b.begin : b.end])
-    if a is b:
-        good &= np.triu(np.ones(good.shape, bool), 1)
-    i, j = np.nonzero(good)
-    return i + a.begin, j + b.begin
-
-
-def dual_traversal(root: Node, sizes, bits, labels, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places that the bounds leave, leaf pair by leaf pair."""
-    stack = [(root, root)]
+def dual_traversal(members: Members, labels: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places that the bounds leave, of different ``labels``, leaf pair by leaf pair. The caller may join labels meanwhile."""
+    trees = signature_trees(members)
+    stack = [(a, b) for k, a in enumerate(trees) for b in trees[k:]]
     while stack:
         a, b = stack.pop()
-        if not possible(a, b, percent):
+        of_a, of_b = labels[a.places], labels[b.places]
+        if (of_a == of_a[0]).all() and (of_b == of_a[0]).all() or not possible(a, b, percent):
             continue
         if not a.children and not b.children:
-            yield leaf_pairs(a, b, sizes, bits, labels, percent)
+            good = of_a[:, None] != of_b[None, :]
+            if a is b:
+                good &= np.triu(np.ones(good.shape, bool), 1)
+            i, j = np.nonzero(good)
+            i, j = a.places[i], b.places[j]
+            sizes = members.sizes
+            near = (100 * sizes[i] >= percent * sizes[j]) & (100 * sizes[j] >= percent * sizes[i])
+            i, j = i[near], j[near]
+            reach = members.reach(i, j, percent)
+            yield i[reach], j[reach]
         elif a is b:
             stack += [(x, y) for k, x in enumerate(a.children) for y in a.children[k:]]
         elif len(a.children) >= len(b.children):
@@ -202,131 +257,113 @@ def dual_traversal(root: Node, sizes, bits, labels, percent: int) -> Iterator[tu
             stack += [(a, y) for y in b.children]
 
 
-def bucket_pairs(sizes, bits, labels, blocks, percent: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of places in one bucket, of different blocks where there are two; ``forest``: only those that join groups."""
-    crossing = blocks.min() != blocks.max()
-    out: list[tuple[int, int]] = []
-    group = {label: label for label in labels.tolist()} if forest else {}
-
-    def find(x):
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
-    for i, j in dual_traversal(build_tree(sizes, bits, labels), sizes, bits, labels, percent):
-        if crossing:
-            some = blocks[i] != blocks[j]
-            i, j = i[some], j[some]
+def bucket_pairs(sizes, bits, labels, percent: int, forest: bool, sides=None) -> tuple[list[int], list[int]]:
+    """Pairs of places in one bucket, of different ``sides`` where they are given; ``forest``: only those that join groups."""
+    first: list[int] = []
+    second: list[int] = []
+    labels = np.unique(labels, return_inverse=True)[1]
+    for i, j in dual_traversal(Members(sizes, bits), labels, percent):
+        if sides is not None:
+            i, j = i[sides[i] != sides[j]], j[sides[i] != sides[j]]
         if not forest:
-            out += zip(i.tolist(), j.tolist(), strict=True)
+            first += i.tolist()
+            second += j.tolist()
             continue
-        for p, q in zip(i.tolist(), j.tolist(), strict=True):
-            a, b = find(labels[p].item()), find(labels[q].item())
-            if a != b:
-                group[max(a, b)] = min(a, b)
-                out.append((p, q))
-    return out
-
-
-def _pairs_of(members: DataFrame, percent: int, small: bool, forest: bool) -> DataFrame:
-    """Candidate pairs (a, b) of representatives, from rows (key, cell, block, id, n, label, bits), one bucket a key and cell."""
-    kind = members.schema["id"].dataType
+        while len(i):
+            first.append(int(i[0]))
+            second.append(int(j[0]))
+            labels[labels == labels[j[0]]] = labels[i[0]]
+            apart = labels[i] != labels[j]
+            i, j = i[apart], j[apart]
+    return first, second
+
+
+def small_pairs(keys, sizes, bits, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places with equal keys that the bounds leave, in buckets of up to SMALL; sorted by key and size."""
+    members = Members(sizes, bits)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for k in range(1, min(SMALL, len(keys))):
+        i = np.flatnonzero((keys[k:] == keys[:-k]) & (100 * sizes[:-k] >= percent * sizes[k:]))
+        i = i[members.reach(i, i + k, percent)]
+        found.append((i, i + k))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _pairs_of(members: DataFrame, percent: int, mode: str) -> DataFrame:
+    """Candidate pairs of representatives, digests (a, b) and ids (u, v), from rows (cell, side, digest, rep, n, label, bits).
+
+    A bucket is the rows of one cell; ``mode``: small, forest or all. Rows of a cell with both sides 0 and 1 only meet across.
+    """
+    kind = members.schema["rep"].dataType
+
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        cell, sizes = rows["cell"].to_numpy(), rows["n"].to_numpy()
+        bits = rows["bits"].to_pylist()
+        if mode == "small":
+            first, second = small_pairs(cell, sizes, bits, percent)
+        else:
+            labels = np.unique(np.array(rows["label"].to_pylist()), return_inverse=True)[1]
+            sides = rows["side"].to_numpy()
+            first, second = [], []
+            edge = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(cell)], strict=True):
+                if b - a > 1 and (labels[a:b] != labels[a]).any():
+                    both = sides[a:b] if (sides[a:b] != sides[a]).any() else None
+                    p, q = bucket_pairs(sizes[a:b], bits[a:b], labels[a:b], percent, mode == "forest", both)
+                    first += [a + x for x in p]
+                    second += [a + x for x in q]
+        digests = rows["digest"].to_pylist()
+        swap = [(q, p) if digests[q] < digests[p] else (p, q) for p, q in zip(first, second, strict=True)]
+        p, q = (pa.array([s[k] for s in swap], pa.int64()) for k in (0, 1))
+        return pa.RecordBatch.from_arrays(
+            [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (
+                rows["digest"].take(p), rows["digest"].take(q), rows["rep"].take(p), rows["rep"].take(q))],
+            ["a", "b", "u", "v"],
+        )
 
     def run(batches):
         waiting: list[pa.RecordBatch] = []
-
-        def done(rows: pa.Table) -> pa.RecordBatch:
-            key, cell = rows["key"].to_numpy(), rows["cell"].to_numpy()
-            ids, sizes, labels, blocks = (rows[c].to_numpy() for c in ("id", "n", "label", "block"))
-            bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(key), WORDS)
-            first: list[int] = []
-            second: list[int] = []
-            if small:
-                for k in range(1, min(SMALL, len(key))):
-                    i = np.flatnonzero((key[k:] == key[:-k]) & (100 * sizes[:-k] >= percent * sizes[k:]) & (labels[:-k] != labels[k:]))
-                    for part in np.array_split(i, len(i) // 20_000 + 1):
-                        j = part + k
-                        most = np.minimum(
-                            sizes[part] - np.bitwise_count(bits[part] & ~bits[j]).sum(1), sizes[j] - np.bitwise_count(bits[j] & ~bits[part]).sum(1)
-                        )
-                        good = most >= least_overlap(sizes[part], sizes[j], percent)
-                        first += part[good].tolist()
-                        second += j[good].tolist()
-            else:
-                edge = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
-                for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
-                    if b - a > 1:
-                        for p, q in bucket_pairs(sizes[a:b], bits[a:b], labels[a:b], blocks[a:b], percent, forest):
-                            first.append(a + p)
-                            second.append(a + q)
-            x, y = ids[first], ids[second]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-        for batch in batches:
+        for batch in sliced(batches):
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([*waiting, batch])
-            key, cell = rows["key"].to_numpy(), rows["cell"].to_numpy()
-            last = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+            cell = rows["cell"].to_numpy()
+            last = np.flatnonzero(cell != cell[-1])
             cut = int(last[-1]) + 1 if len(last) else 0  # the last bucket may go on in the next batch
             if cut:
                 yield done(rows.slice(0, cut))
-            waiting = rows.slice(cut).combine_chunks().to_batches()
+            waiting = rows.slice(cut).to_batches()
         if waiting:
             yield done(pa.Table.from_batches(waiting))
 
-    from pyspark.sql.types import StructField, StructType
-
-    sorted_ = members.repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "id")
-    out = StructType([StructField("a", kind), StructField("b", kind)])
+    sorted_ = members.select("cell", "side", "digest", "rep", "n", "label", "bits").repartition("cell").sortWithinPartitions("cell", "n", "digest")
+    out = StructType([StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("u", kind), StructField("v", kind)])
     return sorted_.mapInArrow(run, out).distinct()
 
 
-def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the counts by bucket leave: two sets share at most the lesser count of each bucket (of 65535 or more, any number)."""
-    from pyspark.sql.types import StructField, StructType
-
-    side = lambda k: reps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb")
-
-    def run(batches):
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, COUNTS) for k in (4, 5))
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            most = np.minimum(x, y).sum(1, dtype=np.int64)
-            full = (np.minimum(x, y) == 65535).any(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(
-                pa.array(full | (most >= least_overlap(na, nb, percent)))
-            )
-
-    kind = pairs.schema["a"].dataType
-    return both.mapInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]))
-
-
 def check_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs of written table ``pairs`` whose whole sets reach the similarity."""
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    if pairs.count() <= BROADCAST_IDS // 2:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi")
+    """The pairs of written table ``pairs`` whose whole sets reach the similarity; written."""
     kind = docs.schema[id_col].dataType
+    ids = materialize(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(broadcast_if_small(ids, "id"), "id", "left_semi")
 
     def members(batches):
         for batch in sliced(batches):
-            sets = [s.tobytes() for s in sets_in_steps(batch.column(1).to_pylist(), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            sets = list(sets_in_steps(batch.column(1).to_pylist(), width))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digest_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "set"]
+            )
 
-    sets = texts.mapInArrow(members, StructType([StructField("id", kind), StructField("set", BinaryType())]))
-    sets = materialize(sets, "members")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b"
-    ).select("a", "b", "x", "y")
+    # Repeated rows of an id have one set; other texts of an id have digests that no pair has.
+    sets = materialize(
+        texts.select("id", "t").mapInArrow(members, StructType([StructField("digest", BinaryType()), StructField("set", BinaryType())])), "members"
+    ).groupBy("digest").agg(F.first("set").alias("set"))
+    both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), "a").join(
+        sets.select(F.col("digest").alias("b"), F.col("set").alias("y")), "b"
+    ).select("u", "v", "x", "y")
 
     def verify(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -334,46 +371,109 @@ def check_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, w
                     x, y = y, x
                 shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 good.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            some = np.flatnonzero(good)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some))], ["a", "b"])
+            some = pa.array(np.flatnonzero(good))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some)], ["u", "v"])
+
+    return materialize(both.mapInArrow(verify, StructType([StructField("u", kind), StructField("v", kind)])).distinct(), "links")
+
+
+def buckets_of(reps: DataFrame) -> DataFrame:
+    """Rows (key, c, digest, rep, n, bits) of the prefix buckets of ``c`` representatives, two or more; of equal buckets one."""
+    keys = reps.select("digest", F.explode("prefix").alias("key"))
+    crowded = keys.groupBy("key").agg(
+        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y")
+    ).where("c > 1")
+    kept = materialize(crowded.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c"), "keys")
+    placed = materialize(keys.join(broadcast_if_small(kept, "key"), "key"), "buckets")
+    return materialize(placed.join(reps.select("digest", "rep", "n", "bits"), "digest").select("key", "c", "digest", "rep", "n", "bits"), "placed")
+
+
+def blocks_of(rows: DataFrame) -> DataFrame:
+    """Rows (key, digest, rep, n, label, bits) of large buckets, dealt to cells in which all pairs of different labels meet.
+
+    A label of BLOCK members or more in a bucket has blocks of its own, the others share blocks; a row goes to a cell for each
+    block that its own must meet.
+    """
+    count = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m")).withColumn("own", F.when(F.col("m") >= BLOCK, F.col("label")))
+    parts = count.groupBy("key", "own").agg(F.sum("m").alias("m")).withColumn("k", F.ceil(F.col("m") / BLOCK).cast("int"))
+    parts = materialize(parts.select("key", "own", "k"), "parts")
+    every = parts.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda p: F.struct("own", p.alias("part")))).alias("o"))
+    every = every.groupBy("key").agg(F.collect_list("o").alias("others"))
+    dealt = rows.join(count.select("key", "label", "own"), ["key", "label"]).join(
+        parts.withColumnRenamed("own", "own_").withColumnRenamed("key", "key_"), (F.col("key") == F.col("key_")) & F.col("own").eqNullSafe(F.col("own_"))
+    ).drop("key_", "own_").join(every, "key")
+    mine = F.struct("own", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int").alias("part"))
+    dealt = dealt.withColumn("mine", mine).withColumn(
+        "other", F.explode(F.filter("others", lambda o: F.col("own").isNull() | ~o["own"].eqNullSafe(F.col("own"))))
+    )
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    return dealt.withColumn("cell", F.xxhash64("key", low, high)).withColumn("side", F.when(F.col("mine") == low, 0).otherwise(1))
+
 
-    return both.mapInArrow(verify, StructType([StructField("a", kind), StructField("b", kind)])).distinct()
+def several_labels(rows: DataFrame) -> DataFrame:
+    """The rows of buckets with more than one label."""
+    mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return rows.join(mixed, "key", "left_semi")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per document: id, ``n_shingles`` and ``component_id``, the least id that links reach, itself included."""
-    ids = docs.where(F.col(id_col).isNotNull())
-    described = describe(ids, id_col, text_col, width, percent)
-    some = described.where("n > 0")
-    least = some.groupBy("digest").agg(F.min("id").alias("rep"))
-    member_of = described.select("id", "n", "digest").join(least, "digest", "left").select(
-        "id", "n", F.coalesce("rep", "id").alias("rep")
+    """Per row: id, ``n_shingles`` and ``component_id``, the least id that links reach, itself included."""
+    described = describe(docs, id_col, text_col, width, percent)
+    some = described.where("digest is not null and id is not null")
+    copies = materialize(some.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "copies")
+    member_of = described.select("id", "n", "digest").join(broadcast_if_small(copies, "rep"), "digest", "left").select(
+        "id", "n", "digest", F.coalesce(F.when(F.col("id").isNotNull(), F.col("rep")), "id").alias("rep")
     )
-    reps = materialize(
-        some.join(least, [some["digest"] == least["digest"], some["id"] == least["rep"]], "left_semi")
-        .select("id", "n", "prefix", "bits", "counts").dropDuplicates(["id"]), "reps"
+    once = some.join(broadcast_if_small(copies, "rep"), "digest", "left").where("rep is null or rep = id")
+    reps = materialize(once.where("rep is null").unionByName(once.where("rep is not null").dropDuplicates(["digest"])).withColumn("rep", F.col("id")), "reps")
+    # Texts of one id are one document.
+    several = some.groupBy("id").agg(F.min(F.xxhash64("digest")).alias("low"), F.max(F.xxhash64("digest")).alias("high")).where("low <> high").select("id")
+    edges = materialize(member_of.where("digest is not null").join(several, "id", "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v")), "same")
+
+    placed = buckets_of(reps)
+    discard(reps)
+    plain = placed.withColumn("side", F.lit(0)).withColumn("label", F.xxhash64("digest"))
+    large = plain.where(F.col("c") > SMALL)
+    block = F.pmod(F.xxhash64("digest"), F.ceil(F.col("c") / BLOCK).cast("long"))
+    tried = materialize(
+        _pairs_of(plain.where(F.col("c") <= SMALL).withColumn("cell", F.col("key")), percent, "small").unionByName(
+            _pairs_of(large.withColumn("cell", F.when(F.col("c") > BLOCK, F.xxhash64("key", block)).otherwise(F.col("key"))), percent, "forest")
+        ).distinct(), "tried",
     )
-    keys = reps.select("id", F.explode("prefix").alias("key"))
-    crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    placed = materialize(keys.join(crowded, "key"), "buckets").join(reps.select("id", "n", "bits"), "id").withColumn("label", F.col("id"))
-    one = placed.where(F.col("c") <= SMALL).select("key", F.lit(0).alias("cell"), F.lit(0).alias("block"), "id", "n", "label", "bits")
-    k = F.ceil(F.col("c") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("id"), k).cast("int")
-    large = placed.where(F.col("c") > SMALL).withColumn("k", k).withColumn("block", block).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))
-    ).withColumn("cell", F.least("block", "other") * F.col("k") + F.greatest("block", "other"))
-    large = materialize(large.select("key", "cell", "block", "id", "n", "label", "bits"), "large")
-    pairs = materialize(_pairs_of(one, percent, True, False).unionByName(_pairs_of(large, percent, False, True)).distinct(), "candidates")
-    pairs = materialize(bounded(pairs, reps, percent), "pairs")
-    links = materialize(check_pairs(docs, pairs, id_col, text_col, width, percent), "links")
-    labels = connected_components(links, "a", "b")
-    joined = large.drop("label").join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")), "id", "left")
-    rest = _pairs_of(joined.withColumn("label", F.coalesce("label", "id")), percent, False, False)
-    rest = materialize(bounded(rest.join(pairs, ["a", "b"], "left_anti"), reps, percent), "rest")
+
+    def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+        labels = found.select(F.col("node").alias("rep"), "component")
+        return several_labels(rows.drop("label").join(broadcast_if_small(labels, "rep"), "rep", "left").withColumn(
+            "label", F.coalesce("component", "rep")).drop("component"))
+
+    links = check_pairs(docs, tried, id_col, text_col, width, percent)
+    found = connected_components(edges.unionByName(links), "u", "v")
+    most = placed.agg(F.max("c")).first()[0] or 0
+    for _ in range(DELEGATE_ROUNDS if most > BLOCK else 0):
+        delegate = F.min(F.struct(F.xxhash64("digest", F.lit(2)).alias("h"), "digest", "rep", "n", "bits")).alias("d")
+        one = labelled(large.where(F.col("c") > BLOCK), found).groupBy("key", "label").agg(delegate).select("key", "label", "d.*")
+        many = one.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+        cell = F.xxhash64("key", F.pmod(F.col("h"), F.ceil(F.col("m") / BLOCK).cast("long")))
+        again = _pairs_of(one.join(many, "key").withColumn("cell", cell).withColumn("side", F.lit(0)), percent, "forest")
+        again = materialize(again.join(tried, ["a", "b"], "left_anti"), "delegates")
+        more = check_pairs(docs, again, id_col, text_col, width, percent)
+        tried = materialize(tried.unionByName(again), "tried")
+        if more.isEmpty():
+            break
+        found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "u", "v")
+
+    left = materialize(labelled(large, found), "left")
+    within = _pairs_of(left.where(F.col("c") <= BLOCK).withColumn("cell", F.col("key")), percent, "all")
+    if most > BLOCK:
+        within = within.unionByName(_pairs_of(blocks_of(left.where(F.col("c") > BLOCK)), percent, "all")).distinct()
+    rest = materialize(within.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(check_pairs(docs, rest, id_col, text_col, width, percent))
-        labels = connected_components(links, "a", "b")
-    return member_of.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        more = check_pairs(docs, rest, id_col, text_col, width, percent)
+        if not more.isEmpty():
+            found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "u", "v")
+    discard(tried, left, rest, placed, edges, links)
+    labels = found.select(F.col("node").alias("rep"), "component")
+    return member_of.join(broadcast_if_small(labels, "rep"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
     )
 
