@@ -1,99 +1,97 @@
 """License scans: canonical digests of entire texts, hash-joined to the digests of known licences.
 
-Canonical form: lower case, copyright lines dropped, equivalent spellings made one, everything but letters and
-digits one space. Whole texts are looked up, and so is every line, as licence notes stand on lines of their own. The
-known texts are a small fixed table, so they are broadcast; the documents are not shuffled.
-
-Nulls and empty texts match nothing; repeated rows each give their row; a line that occurs twice counts once.
+Canonical form: lower case, copyright lines dropped (unless nothing else is left), equivalent spellings made one, everything
+but letters and digits one space. Entire texts are joined by digest, with the usual titles above them or without; and so that notes
+on lines of their own are found, every line's digest is looked up too. A line can only match if it has a word of
+a known text, so lines without any of those words are passed over; the words follow from the table. The known texts are a
+list of at most ``MOST_KNOWN``, so their digests are broadcast; the documents are not shuffled.
+
+Nulls and empty texts match nothing; repeated rows each give their row; a line that occurs twice counts once; of two known
+texts with one digest the first by name counts. Texts of any length are read whole, an empty table gives an empty one, and
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestra.llm.common import table
+from attestra.llm.license_texts import DIGESTS, NOTES, TEXTS, TITLES
 
 #: Fixed values: (from, to) spellings that canonical texts treat alike, as words without punctuation.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
-    ("non commercial", "noncommercial"), ("copyright holder", "copyright owner"), ("copyright holders", "copyright owners"),
-    ("per cent", "percent"), ("whilst", "while"), ("favour", "favor"), ("organisation", "organization"),
-]
-
-#: Licence id and text of well-known licences and licence notes.
-KNOWN = [
-    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
-    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
-    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
-
-Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
-
-1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
-2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
-3. This notice may not be removed or altered from any source distribution."""),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("copyright holder", "copyright owner"),
+    ("copyright holders", "copyright owners"), ("per cent", "percent"), ("whilst", "while"), ("favour", "favor"),
+    ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("https", "http"),
 ]
+COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright[ \t]*(\(c\)|©|[0-9<\[{:])|copyright by |\(c\)|©|all rights reserved)[^\n]*$"
+MOST_KNOWN = 10_000
 
-COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+KNOWN = [*TEXTS, *[(name, f"{title}\n\n{text}") for name, text in TEXTS for title in TITLES.get(name, [])], *NOTES]
 
 
 def canonical(text: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " "), r"[^\p{L}\p{N}]+", " ")
-    out = F.concat(F.lit(" "), F.trim(bare), F.lit(" "))
+    def bare(x: Column) -> Column:
+        return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", "  "))
+
+    low = F.lower(text)
+    kept = bare(F.regexp_replace(low, COPYRIGHT_LINE, " "))
+    # Two spaces between words, so that neighbours that are replaced don't share one.
+    out = F.concat(F.lit(" "), F.when(kept == "", bare(low)).otherwise(kept), F.lit(" "))
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+    """Digest of the canonical form; null where that is empty."""
+    form = canonical(text)
+    return F.when(form != "", F.sha2(form.cast("binary"), 256))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
     """Digest and license, one row per digest."""
-    texts = spark.createDataFrame(known, "license string, text string").coalesce(1)
-    return texts.select(digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
-
-
-#: A line without any of these cannot be a note.
-NOTE = r"licen[cs]|spdx|public domain"
-
-
-def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    texts = spark.createDataFrame(known, "license string, text string").coalesce(1).select(digest(F.col("text")).alias("digest"), "license")
+    if digests:
+        texts = texts.unionByName(spark.createDataFrame(digests, "license string, digest string").coalesce(1))
+    return texts.where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+
+
+def telling_words(known: list[tuple[str, str]]) -> list[str]:
+    """Of each known text its longest word that no spelling changes: a line of that canonical form has the word."""
+    changed = {w for pair in SPELLINGS for side in pair for w in side.split()}
+    out = set()
+    for _, text in known:
+        words = [w for w in re.findall(r"[^\W_]+", unicodedata.normalize("NFC", text.lower())) if w not in changed and w.isascii()]
+        out.add(max(words, key=lambda w: (len(w), w), default=""))
+    return sorted(out)
+
+
+def scan(
+    docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text",
+    digests: list[tuple[str, str]] = DIGESTS,
+) -> DataFrame:
     """Per document: ``license`` of the entire text (or null) and ``notes``, the licences its lines name, sorted, joined by commas.
 
-    ``known`` is a fixed list; its digests are computed by the same expression, and a list of up to 10,000 texts is
-    broadcast (Spark joins a longer one as it sees fit). Lines are looked up in a literal map, without a shuffle.
+    ``known`` lists texts, ``digests`` canonical digests of entire texts; both by licence.
     """
-    table_ = known_digests(docs.sparkSession, known)
-    pairs = table_.collect()
-    by_digest = F.create_map(*[F.lit(x) for r in pairs for x in (r["digest"], r["license"])])
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.lower(x).rlike(NOTE))
+    if len(known) + len(digests) > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} known texts")
+    table_ = known_digests(docs.sparkSession, known, digests)
+    by_digest = F.create_map(*[F.lit(x) for r in table_.collect() for x in (r["digest"], r["license"])]).cast("map<string,string>")
+    telling = F.lit("|".join(telling_words(known)))
+    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.rlike(F.lower(x), telling))
     named = F.filter(F.transform(lines, lambda x: F.try_element_at(by_digest, digest(x))), lambda x: x.isNotNull())
     whole = docs.select(
-        F.col(id_col), digest(F.col(text_col)).alias("digest"),
+        F.col(id_col).alias("__id"), digest(F.col(text_col)).alias("digest"),
         F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("notes"),
     )
-    return whole.join(F.broadcast(table_) if len(pairs) <= 10_000 else table_, "digest", "left").select(
-        F.col(id_col), "license", "notes", "digest"
-    )
+    return whole.join(F.broadcast(table_), "digest", "left").select(F.col("__id").alias(id_col), "license", "notes", "digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,23 +99,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    bare = f"regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')"
-    out = f"' ' || trim({bare}) || ' '"
+    bare = lambda x: f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g'))"
+    kept, whole = bare(f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g')"), bare(f"lower({text})")
+    out = f"' ' || case when {kept} = '' then {whole} else {kept} end || ' '"
     for old, new in SPELLINGS:
-        out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+    return f"trim(replace({out}, '  ', ' '))"
+
+
+def _sql_digest(text: str) -> str:
+    return f"case when {_sql_canonical(text)} <> '' then sha256({_sql_canonical(text)}) end"
 
 
 def oracle() -> str:
+    """Every line is looked up here."""
     quoted = ", ".join(f"('{name}', '{text.replace(chr(39), chr(39) * 2)}')" for name, text in KNOWN)
+    listed = ", ".join(f"('{name}', '{value}')" for name, value in DIGESTS)
     return f"""
 with known as (
-    select sha256({_sql_canonical("t")}) as digest, min(name) as license from (values {quoted}) as v(name, t) group by 1),
-docs as (select doc_id, text, sha256({_sql_canonical("text")}) as digest from documents),
+    select digest, min(name) as license from (
+        select {_sql_digest("t")} as digest, name from (values {quoted}) as v(name, t)
+        union all select digest, name from (values {listed}) as d(name, digest)) group by 1),
+docs as (select doc_id, text, {_sql_digest("text")} as digest from documents),
 lines as (
-    select doc_id, sha256({_sql_canonical("line")}) as digest
-    from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents)
-    where regexp_matches(lower(line), '{NOTE}')),
+    select doc_id, {_sql_digest("line")} as digest
+    from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents)),
 notes as (
     select doc_id, string_agg(distinct license, ',' order by license) as notes
     from lines join known using (digest) group by doc_id)
