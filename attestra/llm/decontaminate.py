@@ -1,11 +1,18 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark windows.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark text.
 
 Texts and benchmark items are normalised alike: A-Z to lower case, words of letters, digits and bytes
-beyond ASCII, joined by single spaces. Every window of ``window`` words of an item (a shorter item is one
-window) is a pattern; a text is scanned once, and occurrences map back to words and to code points.
+beyond ASCII, joined by single spaces. An item's windows are all its runs of ``window`` words; a shorter item is one
+window. Any run of ``window`` words holds one of the item's disjoint pieces of ``(window + 1) // 2`` words whole, so only these
+pieces (and short items, whole) are the automaton's patterns, about one node a character of the benchmark. A text is scanned
+once; where a piece occurs, the words beside it are held against the item's, which gives exactly the occurring windows that
+have the piece. Occurrences map back to words and to code points.
+
+A benchmark of more than ``BLOCK_BYTES`` is scanned for in blocks, each in tasks of its own with one automaton; what texts hit is
+merged by the texts' digests, so repeated ids and repeated texts do no harm.
 
 Nulls and texts without words hit nothing; an item without words makes no window; repeated items and
-texts count each for themselves; an empty benchmark contaminates nothing.
+texts count each for themselves; an empty benchmark contaminates nothing. Very long texts are scanned whole. Other columns,
+whatever their names, are not read by ``contamination`` and kept as they are by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -13,17 +20,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import SLICE, map_rows, table
+from attestra.llm.common import SLICE, broadcast_if_small, map_rows, table
 
 WINDOW = 13
-#: Bytes of benchmark text in one automaton; a larger benchmark is scanned for in several.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in one automaton, which takes about 70 times as much memory in each Python worker.
+BLOCK_BYTES = 4 << 20
 
 _KEEP = bytearray(b" " * 256)
 for _b in (*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)):
@@ -38,41 +46,65 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_KEEP).split() if text else []
 
 
-def build_automaton(items: list[tuple], window: int):
-    """Patterns `` w1 .. wn `` with (number of words, ids of the items that have it)."""
-    owners: dict[str, list] = defaultdict(list)
+def build_automaton(items: Iterable[tuple], window: int):
+    """Patterns `` w1 .. wn `` with the number of their words and what surrounds them: for each distinct surrounding the words
+    before, the words behind, least words of a run and the ids of the items that have it. None without any."""
+    step = (window + 1) // 2
+    found: dict[str, dict[tuple, dict]] = defaultdict(lambda: defaultdict(dict))
+    seen: dict[bytes, bytes] = {}
     for item_id, text in items:
-        words = words_of(text)
-        for k in range(max(1, len(words) - window + 1) if words else 0):
-            pattern = (b" " + b" ".join(words[k : k + window]) + b" ").decode("latin-1")
-            if item_id not in owners[pattern][-1:]:
-                owners[pattern].append(item_id)
+        words = [seen.setdefault(w, w) for w in words_of(text)]
+        if not words:
+            continue
+        if len(words) < window:
+            pieces = [(0, len(words), len(words))]
+        else:
+            pieces = [(k, k + step, window) for k in range(0, len(words) - step + 1, step)]
+        for begin, end, least in pieces:
+            pattern = (b" " + b" ".join(words[begin:end]) + b" ").decode("latin-1")
+            reach = least - (end - begin)
+            around = (tuple(words[max(0, begin - reach) : begin]), tuple(words[end : end + reach]), least)
+            found[pattern][around][item_id] = None
+    if not found:
+        return None
     automaton = ahocorasick.Automaton()
-    for pattern, ids in owners.items():
-        automaton.add_word(pattern, (pattern.count(" ") - 1, tuple(ids)))
-    if owners:
-        automaton.make_automaton()
-    return automaton if owners else None
+    for pattern, arounds in found.items():
+        automaton.add_word(pattern, (pattern.count(" ") - 1, [(*around, tuple(ids)) for around, ids in arounds.items()]))
+    automaton.make_automaton()
+    return automaton
 
 
 def scan(automaton, words: list[bytes], hit: bytearray, items: set) -> None:
-    """Mark the words inside occurrences and add the items that occur."""
+    """Mark the words inside occurrences of windows and add the items that occur."""
     if automaton is None or not words:
         return
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
     counted = spaces = 0
-    for end, (n, ids) in automaton.iter(line):
+    for end, (n, arounds) in automaton.iter(line):
         spaces += line.count(" ", counted, end + 1)
         counted = end + 1
         last = spaces - 1
-        hit[last - n : last] = b"\x01" * n
-        items.update(ids)
+        first = last - n
+        for before, behind, least, ids in arounds:
+            low, high = first, last
+            for word in reversed(before):
+                if not low or words[low - 1] != word:
+                    break
+                low -= 1
+            for word in behind:
+                if high == len(words) or words[high] != word:
+                    break
+                high += 1
+            if high - low >= least:
+                hit[low:high] = b"\x01" * (high - low)
+                items.update(ids)
 
 
 _AUTOMATA: dict = {}
 
 
 def _automaton(block, window: int):
+    """The block's automaton, built once a worker; a task has one block, so one automaton is held at a time."""
     key = (block.id, window) if hasattr(block, "id") else id(block)
     if key not in _AUTOMATA:
         _AUTOMATA.clear()
@@ -81,66 +113,120 @@ def _automaton(block, window: int):
 
 
 def benchmark_blocks(spark: SparkSession, items: DataFrame, item_col: str, text_col: str) -> list:
-    """The items as broadcast lists, each below BLOCK_BYTES or so; their number follows the benchmark's size."""
+    """The items as broadcast lists, each of BLOCK_BYTES or so; their number follows the benchmark's size."""
     size = items.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = size // BLOCK_BYTES + 1
-    block = F.pmod(F.xxhash64(F.col(item_col)), F.lit(n))
+    block = F.pmod(F.xxhash64(F.col(item_col), F.col(text_col)), F.lit(n))
     return [
         spark.sparkContext.broadcast([tuple(r) for r in items.where(block == i).select(item_col, text_col).collect()])
         for i in range(n)
     ]
 
 
+def _word_runs(hit: bytearray) -> list[dict]:
+    """Runs of hit words, end exclusive."""
+    runs, at = [], hit.find(1)
+    while at >= 0:
+        end = hit.find(0, at)
+        end = len(hit) if end < 0 else end
+        runs.append({"start": at, "end": end})
+        at = hit.find(1, end)
+    return runs
+
+
+def _hits_by_digest(docs: DataFrame, blocks: list, text_col: str, window: int) -> DataFrame:
+    """(digest, runs, items) of the texts that hit something, over all blocks; each block has its own scan and tasks."""
+    def scanned(block):
+        def per_batch(digests, texts):
+            automaton = _automaton(block, window)
+            out = []
+            for key, text in zip(digests, texts, strict=True):
+                words, items = words_of(text), set()
+                hit = bytearray(len(words))
+                scan(automaton, words, hit, items)
+                if items:
+                    out.append((key, _word_runs(hit), sorted(map(str, items))))
+            return [list(column) for column in zip(*out, strict=True)] or [[], [], []]
+
+        texts = docs.where(F.col(text_col).isNotNull()).select(F.sha2(F.col(text_col).cast("binary"), 256), F.col(text_col))
+        return map_rows(texts, per_batch, "__digest string, runs array<struct<start:long,end:long>>, items array<string>")
+
+    found = scanned(blocks[0])
+    for block in blocks[1:]:
+        found = found.unionByName(scanned(block))
+    return found.groupBy("__digest").agg(
+        F.flatten(F.collect_set("runs")).alias("__runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("__items")
+    )
+
+
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", window: int = WINDOW,
 ) -> DataFrame:
     """Per document: words, words hit, items that occur (ids as sorted text) and the hit runs in code points.
 
-    The benchmark's size is measured; it is broadcast in blocks of bounded size, and the documents stream
-    through without a shuffle.
+    The benchmark's size is measured. In one block, the usual case, the documents stream through without a shuffle; in several,
+    what was hit is shuffled and joined to the documents.
     """
     blocks = benchmark_blocks(docs.sparkSession, items, item_col, item_text_col)
+    kind = dict(docs.dtypes)[id_col]
+    schema = f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, hit_spans array<struct<start:long,end:long>>"
 
-    def per_batch(keys, texts):
-        rows = [words_of(t) for t in texts]
-        hits = [bytearray(len(w)) for w in rows]
-        found: list[set] = [set() for _ in rows]
-        for block in blocks:
-            automaton = _automaton(block, window)
-            for words, hit, items_hit in zip(rows, hits, found, strict=True):
-                scan(automaton, words, hit, items_hit)
-        names = [sorted(map(str, x)) for x in found]
+    def finished(keys, texts, hits, names):
         return [
-            keys,
-            [len(w) for w in rows],
-            [sum(h) for h in hits],
-            names,
+            keys, [len(h) for h in hits], [sum(h) for h in hits], names,
             [_runs(t, h) if any(h) else [] for t, h in zip(texts, hits, strict=True)],
         ]
 
-    kind = dict(docs.dtypes)[id_col]
-    schema = f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, hit_spans array<struct<start:long,end:long>>"
-    return map_rows(docs.select(id_col, text_col), per_batch, schema)
+    if len(blocks) == 1:
+        def per_batch(keys, texts):
+            automaton = _automaton(blocks[0], window)
+            hits, names = [], []
+            for text in texts:
+                words, found = words_of(text), set()
+                hits.append(bytearray(len(words)))
+                scan(automaton, words, hits[-1], found)
+                names.append(sorted(map(str, found)))
+            return finished(keys, texts, hits, names)
+
+        return map_rows(docs.select(id_col, text_col), per_batch, schema)
+
+    def merged(keys, texts, runs, names):
+        hits = []
+        for text, some in zip(texts, runs, strict=True):
+            hits.append(bytearray(len(words_of(text))))
+            for r in some or []:
+                hits[-1][r["start"] : r["end"]] = b"\x01" * (r["end"] - r["start"])
+        return finished(keys, texts, hits, [sorted(n or []) for n in names])
+
+    found = broadcast_if_small(_hits_by_digest(docs, blocks, text_col, window), "__runs")
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.sha2(F.col(text_col).cast("binary"), 256).alias("__digest"))
+    return map_rows(rows.join(found, "__digest", "left").select("__id", "__text", "__runs", "__items"), merged, schema)
 
 
 def keep_clean(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW,
 ) -> DataFrame:
-    """The rows of ``docs``, whole, that the rule doesn't call contaminated; each batch is scanned and filtered in place."""
+    """The rows of ``docs``, whole, that the rule doesn't call contaminated; null texts are kept. In one block each batch is
+    scanned and filtered in place; in several, contaminated texts are found first and anti-joined by digest."""
     blocks = benchmark_blocks(docs.sparkSession, items, item_col, item_text_col)
+    if len(blocks) > 1:
+        digest_ = F.sha2(F.col(text_col).cast("binary"), 256)
+        texts = docs.select(digest_.alias("__digest"), F.col(text_col).alias("__text")).dropDuplicates(["__digest"])
+        dirty = contamination(texts, items, "__digest", "__text", item_col, item_text_col, window).where(contaminated()).select("__digest")
+        return docs.join(broadcast_if_small(dirty, "__digest"), digest_.eqNullSafe(F.col("__digest")), "left_anti")
     place = docs.columns.index(text_col)
 
     def run(batches):
+        automaton = _automaton(blocks[0], window)
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            rows = [words_of(t) for t in batch.column(place).to_pylist()]
-            hits = [bytearray(len(w)) for w in rows]
-            for block in blocks:
-                automaton = _automaton(block, window)
-                for words, hit in zip(rows, hits, strict=True):
-                    scan(automaton, words, hit, set())
-            clean = [not (any(h) and 20 * sum(h) >= len(h)) for h in hits]
+            clean = []
+            for text in batch.column(place).to_pylist():
+                words = words_of(text)
+                hit = bytearray(len(words))
+                scan(automaton, words, hit, set())
+                clean.append(not (any(hit) and 20 * sum(hit) >= len(hit)))
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
