@@ -9,7 +9,8 @@ length and repetition.
 
 Nulls and texts without words have zero counts and fail; without trusted documents, or on an empty table, the two
 multinomials are alike and every score is 0. Without good or without bad labelled documents that pass the plain
-limits there is no cut. Repeated rows count as often as they occur; repeated labels don't.
+limits there is no cut. Repeated rows count as often as they occur; repeated labels don't. A null id has no label. Texts of any
+length are read whole. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -222,13 +223,13 @@ def quality(
     """Per document: counts, ``base_failed``, ``score`` and ``kept``. Two scans and one of labelled documents, one shuffle
     of one row per fold, bucket and task; two more of ids and texts where labelled ids are too many to broadcast.
 
-    ``distrusted``: ids of the documents labelled bad; without them no score is cut. ``keep_row``: the verdicts stand
-    behind all columns of ``docs``, which must not have their names.
+    ``distrusted``: ids of the documents labelled bad; without them no score is cut. ``keep_row``: a struct ``row`` of all
+    columns of ``docs``, whatever their names, stands in place of the id.
     """
     ratios = train_folds(docs, trusted, id_col, text_col, buckets, folds)
     cut = float("-inf") if distrusted is None else labelled_cut(docs, trusted, distrusted, ratios, id_col, text_col, folds)
-    own = [F.col(f"`{c}`") for c in docs.columns] if keep_row else [F.col(id_col)]
-    base = measured(docs, own, text_col, ratios, folds)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_row else F.col(id_col)
+    base = measured(docs.select(own, F.col(text_col).alias("__whole")), [F.col("row" if keep_row else f"`{id_col}`")], "__whole", ratios, folds)
     return base.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cut))
 
 
