@@ -14,34 +14,41 @@ from attestra.llm.common import materialize, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; its verdict joins back by a row's own columns, without a shuffle."""
+    """Rows that the quality rules keep, whole, whatever their columns are named; without a shuffle of rows.
+
+    Null and empty texts fail the rules and go; repeated rows fare alike; a null id has no label; an empty table stays empty.
+    """
     labels = table(spark, sf_dir, "labels")
     verdict = quality.quality(docs, quality.trusted_ids(labels), distrusted=quality.distrusted_ids(labels), keep_row=True)
-    return verdict.where("kept").select(*docs.columns)
+    return verdict.where("kept").select("row.*")
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near duplicates: five-word shingles, similarity 0.8 or more.
 
-    Rows of one id are one document; documents without words belong to no group and stay.
+    Rows of one id are one document and stay together. Null, empty and wordless texts belong to no group and stay, as do rows
+    of a null id. Ties cannot occur, as ids differ; an empty table stays empty.
     """
     found = jaccard.join(docs, width=5, percent=80)
     dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark contamination."""
+    """Rows without benchmark contamination, whole. Null, empty and wordless texts hit nothing and stay; repeated rows fare alike."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data in their texts replaced by its kind; ``n_chars`` follows the text."""
-    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All rows, personal data and secrets in their texts replaced by their kind; ``n_chars`` follows the text.
+
+    A null text stays null and has null ``n_chars``; an empty text stays empty.
+    """
+    return pii.mask(docs).withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its token ids, their number and the digests of ids and decoded text."""
+    """Per row its id, token ids, their number and the digests of ids and decoded text; a null text is an empty one."""
     return bpe.encode_decode(docs, keep_ids=True)
 
 
