@@ -59,13 +59,15 @@ def lcs_length(a: Column, b: Column) -> Column:
         ), -1))
 
 
-def similar(a: Column, b: Column, percent: int = 88) -> Column:
-    """Whether twice the common subsequence is at least ``percent`` of both lengths together."""
+def similarity(a: Column, b: Column, percent: int = 88) -> Column:
+    """Twice the common subsequence in percent of both lengths together; 0 where the lengths alone rule out ``percent``."""
     total = F.length(a) + F.length(b)
-    enough = 200 * F.least(F.length(a), F.length(b)) >= percent * total
-    return F.when(total == 0, F.lit(True)).when(
-        ~enough | (F.length(a) == 0) | (F.length(b) == 0), F.lit(False)
-    ).otherwise(200 * lcs_length(a, b) >= percent * total)
+    enough = (200 * F.least(F.length(a), F.length(b)) >= percent * total) & (F.length(a) > 0) & (F.length(b) > 0)
+    return F.when(total == 0, F.lit(100.0)).when(enough, 200.0 * lcs_length(a, b) / total).otherwise(F.lit(0.0))
+
+
+def similar(a: Column, b: Column, percent: int = 88) -> Column:
+    return similarity(a, b, percent) >= percent
 
 
 def title_case(x: Column) -> Column:

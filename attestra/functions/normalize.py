@@ -7,7 +7,7 @@ from functools import lru_cache
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.functions.exact import all_lower, let, py_trim, similar, title_case
+from attestra.functions.exact import all_lower, let, py_trim, similarity, title_case
 from attestra.functions.policy import COUNTRIES, DEGREES, SIMILAR_PERCENT, SKILLS, lookup
 
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -89,16 +89,16 @@ def date_range(raw: Column) -> Column:
 
 
 def skill(raw: Column) -> Column:
-    """Canonical name by alias, then by similarity to a canonical name, else as written (all-lower text in title case)."""
+    """Canonical name by alias, then the most similar canonical name (the first of equals), else as written (all-lower text in title case)."""
     return let(py_trim(raw), _skill)
 
 
 def _skill(text: Column) -> Column:
     aliases = {alias: name for name, known in SKILLS.items() for alias in known}
-    names = F.lit(list(SKILLS))
-    close = F.filter(names, lambda n: similar(text, n, SIMILAR_PERCENT))
+    close = F.array(*[F.struct(similarity(text, F.lit(n), SIMILAR_PERCENT).alias("score"), F.lit(-i).alias("i"), F.lit(n).alias("name")) for i, n in enumerate(SKILLS)])
+    best = F.array_max(F.filter(close, lambda x: x["score"] >= SIMILAR_PERCENT))["name"]
     return F.when(text != "", F.coalesce(
-        lookup(aliases, F.lower(text)), F.when(F.length(text) >= 2, F.get(close, F.lit(0))), F.when(all_lower(text), title_case(text)).otherwise(text)
+        lookup(aliases, F.lower(text)), F.when(F.length(text) >= 2, best), F.when(all_lower(text), title_case(text)).otherwise(text)
     ))
 
 

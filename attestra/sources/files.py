@@ -8,6 +8,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,9 +16,12 @@ from pyspark.sql import functions as F
 
 from attestra.functions import normalize as N
 from attestra.functions.exact import py_trim
+from attestra.functions.policy import literal_map
 from attestra.operators.evidence import EDUCATION, EXPERIENCE, LOCATION, shaped
 
-#: Patterns of contacts and links in prose.
+log = logging.getLogger("attestra")
+
+#: Patterns of contacts, links, degrees, years and section headers in prose.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 PHONE = r"(?U)\+?\d[\d\s().\-]{7,}\d"
 URL = r"(?iU)(?:https?://)?(?:www\.)?(?:linkedin\.com|github\.com)/[^\s,;|]+"
@@ -25,12 +29,15 @@ DEGREE = r"(?iU)\b(B\.?S\.?|B\.?A\.?|M\.?S\.?|M\.?A\.?|Ph\.?D\.?|MBA|B\.?Tech|M\
 YEAR = r"(?U)\b(?:19|20)\d{2}\b"
 HEADER = r"(?iU)^\s*(skills|education|experience|summary)\s*:?\s*$"
 SPLIT_LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+#: Places that end a company's line.
 PLACES = (
     r"(?iU)\s+(?:Remote|Pune|Bengaluru|Bangalore|Hyderabad|Mumbai|Delhi|Chennai|New Delhi|Gurgaon|Noida|India|San Francisco|New York|London|Berlin|"
     r"Singapore|Remote/Hybrid|Hybrid|USA|US|UK)\s*$"
 )
+#: Months and ranges of them.
 _MON = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 DATED = rf"(?iU)\b({_MON} \d{{4}} ?(?:-|–|—|to| ) ?(?:Present|Current|\d{{4}}|{_MON} \d{{4}}))\b"
+#: Labels of notes and headers of tables, with the fields they stand for.
 LABELS = {"email": "emails", "phone": "phones", "cell": "phones", "name": "full_name", "location": "location", "title": "headline"}
 CSV_COLUMNS = {"candidate_id": "candidate_id", "id": "candidate_id", "name": "full_name", "full_name": "full_name", "email": "emails", "phone": "phones", "title": "headline"}
 
@@ -39,22 +46,32 @@ def null_str() -> Column:
     return F.lit(None).cast("string")
 
 
+def read_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(record_id, record_ord, content) of the records' files, in one scan; a path is a file or a folder of one.
+
+    Files that aren't there give no row.
+    """
+    schema = "record_id string, record_ord long, content binary"
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    known = []
+    for k, (record, path) in enumerate(paths.items()):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(conf)
+        if fs.exists(place):
+            known.append((record, k, fs.makeQualified(place).toString()))
+    if not known:
+        return spark.createDataFrame([], schema)
+    place = spark.createDataFrame(known, "record_id string, record_ord long, place string")
+    found = spark.read.format("binaryFile").load(sorted({x[2] for x in known})).select(
+        "content", F.explode(F.array("path", F.regexp_replace("path", r"/[^/]*$", ""))).alias("place")
+    )
+    return found.join(place, "place").select("record_id", "record_ord", "content")
+
+
 def read_texts(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """(record_id, record_ord, text) of whole files by record id; files that aren't there or aren't UTF-8 give no row."""
-    schema = "record_id string, record_ord long, text string"
-    frames = []
-    for k, (record, path) in enumerate(paths.items()):
-        try:
-            data = spark.read.format("binaryFile").load(path)
-        except Exception:  # the reader's own error for a missing path
-            continue
-        frames.append(data.where(F.is_valid_utf8(F.col("content").cast("string"))).select(
-            F.lit(record).alias("record_id"), F.lit(k).cast("long").alias("record_ord"), F.col("content").cast("string").alias("text")
-        ))
-    out = spark.createDataFrame([], schema)
-    for frame in frames:
-        out = out.unionByName(frame)
-    return out
+    text = F.col("content").cast("string")
+    return read_files(spark, paths).where(F.is_valid_utf8(text)).select("record_id", "record_ord", text.alias("text"))
 
 
 def lines_of(text: Column) -> Column:
@@ -75,11 +92,12 @@ def claim(field, method: str, v_str=None, raw=None, v_num=None, v_loc=None, v_ex
     ).cast(CLAIM)
 
 
-def emit(rows: DataFrame, source: str, *claims: Column) -> DataFrame:
-    """Claims of a row, given as arrays in order of emission, as evidence."""
+def emit(rows: DataFrame, source: str, *claims: Column, base: Column | None = None) -> DataFrame:
+    """Claims of a row, given as arrays in order of emission, as evidence; their order counts from ``base``."""
     all_ = F.filter(F.concat(*[F.coalesce(c, F.array().cast(f"array<{CLAIM}>")) for c in claims]), lambda c: c.isNotNull())
-    return shaped(rows.select("record_id", "record_ord", F.posexplode(all_).alias("obs_ord", "c")).select(
-        "record_id", "record_ord", F.lit(source).alias("source"), "obs_ord", "c.*"
+    first = F.lit(0) if base is None else base
+    return shaped(rows.select("record_id", "record_ord", first.alias("base"), F.posexplode(all_).alias("at", "c")).select(
+        "record_id", "record_ord", F.lit(source).alias("source"), (F.col("base") + F.col("at")).alias("obs_ord"), "c.*"
     ))
 
 
@@ -100,50 +118,61 @@ def contacts(text: Column, keep: Callable[[Column], Column] = lambda m: F.lit(Tr
     ]
 
 
-def structured(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """A table of string columns by lower-case header, one claim a filled mapped cell; a title with a company becomes both."""
-    has = {c.strip().lower(): c for c in columns}
-    cell = lambda n: py_trim(F.coalesce(F.col(f"`{has[n]}`"), F.lit(""))) if n in has else F.lit("")
-    company = F.when(cell("company") != "", cell("company")).otherwise(cell("current_company"))
-    out = []
-    for header in columns:
-        field = CSV_COLUMNS.get(header.strip().lower())
-        if not field:
-            continue
-        value = cell(header.strip().lower())
-        if field == "headline":
-            shown = F.when(company != "", F.concat(value, F.lit(" at "), company)).otherwise(value)
-        else:
-            shown = value
-        out.append(F.array(F.when(value != "", claim(field, "structured_field", shown, F.col(f"`{header}`")))))
-    return emit(rows, "recruiter_csv", *out) if out else shaped(rows.limit(0).select("record_id", "record_ord"))
+def csv_rows(texts: DataFrame) -> DataFrame:
+    """(record_id, record_ord, row, cells) of CSV texts with a header; cells are (name, raw, value) in order of the header.
 
+    Of repeated names the last cell counts, short rows have empty cells, longer rows lose what has no name, a byte order mark
+    and blank rows are dropped. A text that can't be parsed gives no row.
+    """
+    def cells(names: list[str], row: list[str]) -> list[dict]:
+        found = dict.fromkeys(names)
+        found.update(zip(names, row, strict=False))
+        return [{"name": n.strip().lower(), "raw": v, "value": (v or "").strip()} for n, v in found.items()]
 
-def recruiter_csv(spark: SparkSession, paths: dict[str, str], by_row: bool = False) -> DataFrame:
-    """CSV files; ``by_row`` makes each row a record of its own, else a file's rows are one record.
+    def parse(batches):
+        import pyarrow as pa
 
-    The header is read on the driver: of repeated names the last column counts; a byte order mark is dropped.
-    """
-    out = None
-    for k, (record, path) in enumerate(paths.items()):
-        try:
-            head = spark.read.text(path).limit(1).collect()
-        except Exception:  # the reader's own error for a missing path
-            continue
-        if not head:
-            continue
-        names = next(csv.reader(io.StringIO(head[0][0].lstrip("﻿"))), [])
-        unique = [n if n not in names[i + 1 :] else f"__{i}" for i, n in enumerate(names)]
-        schema = ", ".join(f"`{n}` string" for n in unique)
-        rows = spark.read.schema(schema).csv(path, header=True, escape='"', multiLine=True, enforceSchema=True)
-        rows = rows.withColumn("__n", F.monotonically_increasing_id())
-        ident = F.concat(F.lit(f"{record}#"), F.col("__n")) if by_row else F.lit(record)
-        rows = rows.withColumn("record_id", ident).withColumn("record_ord", F.lit(k).cast("long") if not by_row else F.col("__n"))
-        found = structured(rows, {n: n for n in unique})
-        if not by_row:
-            found = found.join(rows.select("record_id").distinct(), "record_id", "left_semi")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else shaped(spark.createDataFrame([], "record_id string, record_ord long"))
+        kind = pa.list_(pa.struct([("name", pa.string()), ("raw", pa.string()), ("value", pa.string())]))
+        for batch in batches:
+            out: list[tuple] = []
+            for record, k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    names, *rows = [r for r in csv.reader(io.StringIO((text or "").removeprefix("\ufeff"), newline="")) if r] or [[]]
+                except csv.Error:
+                    continue
+                out += [(record, k, n, cells(names, row)) for n, row in enumerate(rows)]
+            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], kind)],
+                ["record_id", "record_ord", "row", "cells"],
+            )
+
+    return texts.select("record_id", "record_ord", "text").mapInArrow(
+        parse, "record_id string, record_ord long, row long, cells array<struct<name:string,raw:string,value:string>>"
+    )
+
+
+def structured(rows: DataFrame) -> DataFrame:
+    """Rows with ``cells`` as evidence, one claim a filled mapped cell; a title with a company becomes both."""
+    cell = lambda n: F.coalesce(F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter("cells", lambda c: c["name"] == n), lambda c: c["value"])), -1), F.lit(""))
+    rows = rows.withColumn("__company", F.when(cell("company") != "", cell("company")).otherwise(cell("current_company")))
+    fields = literal_map(CSV_COLUMNS)
+
+    def said(c: Column) -> Column:
+        field = F.try_element_at(fields, c["name"])
+        titled = (field == "headline") & (F.col("__company") != "")
+        value = F.when(titled, F.concat(c["value"], F.lit(" at "), F.col("__company"))).otherwise(c["value"])
+        return F.when(field.isNotNull() & (c["value"] != ""), claim(field, "structured_field", value, c["raw"]))
+
+    return emit(rows, "recruiter_csv", F.transform("cells", said), base=F.col("row") * 1000)
+
+
+def recruiter_csv(spark: SparkSession, paths: dict[str, str], by_row: bool = False) -> DataFrame:
+    """CSV files in one scan; ``by_row`` makes each row a record of its own, else a file's rows are one record."""
+    rows = csv_rows(read_texts(spark, paths))
+    if by_row:
+        return structured(rows.withColumn("record_id", F.concat("record_id", F.lit("#"), "row")).withColumn("record_ord", F.col("row")))
+    return structured(rows)
 
 
 _JSON = (
@@ -311,29 +340,26 @@ def notes(rows: DataFrame) -> DataFrame:
 
 
 def pdf_text(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Text of PDF files where a PDF library is installed, else no rows."""
-    schema = "record_id string, record_ord long, text string"
-    try:
-        import pdfplumber  # noqa: F401
-    except ImportError:
-        return spark.createDataFrame([], schema)
+    """(record_id, record_ord, text) of PDF files in one scan; a file that can't be read gives no row, the others are not touched."""
 
     def run(batches):
-        import pandas as pd
-        import pdfplumber
+        import pyarrow as pa
+
+        from attestra.sources.pdf import text_of
 
         for batch in batches:
-            texts = []
-            for content in batch["content"]:
-                with pdfplumber.open(io.BytesIO(content)) as pdf:
-                    texts.append("\n".join(page.extract_text() or "" for page in pdf.pages))
-            yield pd.DataFrame({"record_id": batch["record_id"], "record_ord": batch["record_ord"], "text": texts})
+            out: list[tuple] = []
+            for record, k, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    out.append((record, k, text_of(content)))
+                except Exception:  # whatever a broken file makes the parser raise discards this file only
+                    log.warning("no text from the PDF of record %s", record)
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["record_id", "record_ord", "text"]
+            )
 
-    out = spark.createDataFrame([], schema)
-    for k, (record, path) in enumerate(paths.items()):
-        rows = spark.read.format("binaryFile").load(path).select(F.lit(record).alias("record_id"), F.lit(k).cast("long").alias("record_ord"), "content")
-        out = out.unionByName(rows.mapInPandas(run, schema))
-    return out
+    return read_files(spark, paths).select("record_id", "record_ord", "content").mapInArrow(run, "record_id string, record_ord long, text string")
 
 
 def _resumes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -354,5 +380,3 @@ ADAPTERS: dict[str, Callable[[SparkSession, dict[str, str]], DataFrame]] = {
 def read_config(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
-
-
