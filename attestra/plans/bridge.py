@@ -9,8 +9,9 @@ from attestra.functions import normalize as N
 from attestra.functions.exact import ROUND4_SQL
 from attestra.functions.policy import SOURCE_TRUST, strength, strength_sql
 from attestra.operators import resolve as R
-from attestra.operators.cluster import blocking_keys, clusters, star_edges
+from attestra.operators.cluster import blocking_keys, clusters, listing, star_edges
 from attestra.operators.evidence import normalize_all, shaped
+from attestra.plans.scans import phone_sql
 from attestra.sources.files import EMAIL, PHONE, contacts, digits, emit, matches
 
 
@@ -121,10 +122,6 @@ def normalize_country(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", "n_name", N.country(F.col("n_name"), spark).alias("country"))
 
 
-def normalize_skill(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("token")).distinct().select("token", N.skill(F.col("token")).alias("skill"))
-
-
 def normalize_years(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", N.years(F.get_json_object("props", "$.k")).alias("years"))
 
@@ -146,9 +143,19 @@ def entities(spark, sf_dir):
     return clusters(contact_evidence(spark, sf_dir)).select("record_id", "cluster_id")
 
 
-def id_fallback(spark, sf_dir):
-    first = normalize_email(spark, sf_dir).where("email is not null").groupBy("doc_id").agg(F.min("email").alias("email"))
-    return first.select("doc_id", F.concat(F.lit("gen-"), F.substring(F.sha1(F.concat(F.lit("email:"), "email").cast("binary")), 1, 12)).alias("candidate_id"))
+def cluster_listing(spark, sf_dir):
+    """Clusters with their members, numbered in order of the first member."""
+    found = listing(clusters(contact_evidence(spark, sf_dir)))
+    order = F.transform(F.array_sort(F.transform(F.col("all"), lambda c: F.struct(c["o"].alias("o"), c["m"].alias("m")))), lambda c: c["m"])
+    whole = found.agg(F.collect_list(F.struct(F.col("cluster_ord").alias("o"), F.array_join("cluster", ",").alias("m"))).alias("all"))
+    return whole.select(F.posexplode(order).alias("place", "members"))
+
+
+def regroup(spark, sf_dir):
+    """E-mails and phones of each cluster's records, put together."""
+    evidence = contact_evidence(spark, sf_dir)
+    said = evidence.where(F.col("field").isin("emails", "phones"))
+    return said.join(clusters(evidence), "record_id").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_claims"), F.countDistinct("record_id").alias("n_records"))
 
 
 def links(spark, sf_dir):
@@ -158,11 +165,29 @@ def links(spark, sf_dir):
 _PHONES = "list_filter(regexp_extract_all(text, '\\+?\\d[\\d\\s().\\-]{7,}\\d'), lambda m: length(regexp_replace(m, '\\D', '', 'g')) >= 10)"
 _EMAILS = f"regexp_extract_all(text, '{EMAIL}')"
 
+_CONTACTS = f"""
+with recursive texts as (
+    select 'd' || doc_id as record_id, doc_id as ord, text from documents union all select 'p' || page_id, page_id + 1000000000, html from pages),
+said as (
+    select record_id, ord, {_EMAILS} as emails, {_PHONES} as phones, regexp_matches(text, '(?i)(?:linkedin\\.com|github\\.com)/[^\\s,;|]') as linked from texts),
+records as (select record_id, ord from said where len(emails) > 0 or len(phones) > 0 or linked),
+numbers as (select record_id, ord, unnest(phones) as m from said),
+keys as (
+    select distinct record_id, ord, 'email:' || lower(unnest(emails)) as key from said
+    union select record_id, ord, 'phone:' || {phone_sql("m")} from numbers where {phone_sql("m")} is not null),
+hubs as (select key, min(struct_pack(o := ord, r := record_id)) as hub from keys group by key),
+walk as (
+    select record_id as a, record_id as b from keys
+    union select w.a, k.record_id from walk w join keys x on x.record_id = w.b join keys k on k.key = x.key),
+found as (select a as record_id, arg_min(b, ord) as cluster_id, min(ord) as cluster_ord from walk join records on records.record_id = b group by a),
+members as (select r.record_id, coalesce(f.cluster_id, r.record_id) as cluster_id, coalesce(f.cluster_ord, r.ord) as cluster_ord from records r left join found f using (record_id))
+"""
+
 QUERIES = {
     "resolve_single": resolve_single, "resolve_multi": resolve_multi, "extract_emails": extract_emails, "extract_phones": extract_phones,
     "normalize_email": normalize_email, "normalize_phone": normalize_phone, "normalize_month": normalize_month, "normalize_country": normalize_country,
-    "normalize_skill": normalize_skill, "normalize_years": normalize_years, "strength": strengths, "blocking_keys": blocking, "star_edges": stars,
-    "clusters": entities, "id_fallback": id_fallback, "link_slot": links,
+    "normalize_years": normalize_years, "strength": strengths, "blocking_keys": blocking, "star_edges": stars,
+    "clusters": entities, "cluster_listing": cluster_listing, "regroup": regroup, "link_slot": links,
 }
 ORACLES = {
     "resolve_single": _HEADLINES + """
@@ -172,10 +197,16 @@ from out""",
     "resolve_multi": _MULTI,
     "extract_emails": f"select doc_id, (generate_subscripts(l, 1) - 1)::int as pos, unnest(l) as email from (select doc_id, {_EMAILS} as l from documents)",
     "extract_phones": f"select doc_id, (generate_subscripts(l, 1) - 1)::int as pos, unnest(l) as phone from (select doc_id, {_PHONES} as l from documents)",
+    "normalize_phone": f"select doc_id, pos, phone, {phone_sql('phone')} as e164 from (select doc_id, (generate_subscripts(l, 1) - 1)::int as pos, unnest(l) as phone from (select doc_id, {_PHONES} as l from documents))",
+    "blocking_keys": _CONTACTS + "select record_id, key from keys",
+    "star_edges": _CONTACTS + "select distinct record_id, hub.r as hub from keys join hubs using (key) where hub.r <> record_id",
+    "clusters": _CONTACTS + "select record_id, cluster_id from members",
+    "cluster_listing": _CONTACTS + "select string_agg(record_id, ',' order by record_id) as members, (row_number() over (order by cluster_ord) - 1)::int as place from members group by cluster_id, cluster_ord",
+    "regroup": _CONTACTS + "select cluster_id, count(*) as n_claims, count(distinct record_id) as n_records from (select record_id, unnest(list_concat(emails, phones)) as x from said) join members using (record_id) group by cluster_id",
+    "normalize_country": "select n_nationkey, n_name, null::varchar as country from nation",
     "normalize_email": f"select doc_id, (generate_subscripts(l, 1) - 1)::int as pos, lower(unnest(l)) as email from (select doc_id, {_EMAILS} as l from documents)",
     "normalize_month": "select o_orderkey, strftime(o_orderdate, '%Y-%m') as month from orders",
     "normalize_years": "select event_id, json_extract_string(props, '$.k')::double as years from events",
     "strength": "select 'recruiter_csv' as source, 'structured_field' as method, count(*) as n, 1.0::double as strength from customer union all select 'ats_json', 'semi_structured', count(*), 0.9::double * 0.85::double from orders",
-    "id_fallback": f"select doc_id, 'gen-' || substr(sha1('email:' || min(email)), 1, 12) as candidate_id from (select doc_id, lower(unnest({_EMAILS})) as email from documents) group by doc_id",
     "link_slot": "select page_id, case when lower(url) like '%linkedin.com%' then 'linkedin' when lower(url) like '%github.com%' then 'github' when regexp_matches(lower(url), 'portfolio|behance|dribbble') then 'portfolio' else 'other' end as slot from pages",
 }
