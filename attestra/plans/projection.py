@@ -124,9 +124,46 @@ def project(view: DataFrame, config: dict | None = None, cluster: str = "cluster
         if confidences:
             inner = F.array_join(F.filter(F.array(*confidences), lambda x: x.isNotNull()), ", ")
             parts.append(F.when(inner != "", F.concat(F.lit('"_confidence": {'), inner, F.lit("}"))))
-        parts.append(F.concat(F.lit('"overall_confidence": '), F.col("overall_confidence").cast("string")))
+        if all(spec["path"] != "overall_confidence" for spec in specs):
+            parts.append(F.concat(F.lit('"overall_confidence": '), F.col("overall_confidence").cast("string")))
     text = F.concat(F.lit("{"), F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), ", "), F.lit("}"))
     told = F.filter(F.array(*problems), lambda x: x.isNotNull()) if problems else F.array().cast("array<string>")
     return view.select(cluster, text.alias("profile"), (F.size(told) == 0).alias("valid"), told.alias("problems"), F.to_json("_meta", {"ignoreNullFields": "false"}).alias("explain"))
 
 
+#: Declared type to the test of a variant's type name.
+_DECLARED = {
+    "string": lambda t: t == "STRING", "number": lambda t: t.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "boolean": lambda t: t == "BOOLEAN", "object": lambda t: t.startswith("OBJECT"),
+}
+
+
+def _sure(test):
+    return lambda kind: F.coalesce(test(kind), F.lit(False))
+
+
+def validate(profiles: DataFrame, config: dict | None = None, column: str = "profile") -> DataFrame:
+    """``profiles`` with ``problems`` of the JSON texts in ``column`` against the fields that ``config`` asks for, whoever made them.
+
+    A required field must be there and not null; a field that is there must have its declared type. A text that isn't JSON has no fields.
+    """
+    whole = F.try_parse_json(column)
+    told = []
+    for spec in (config or {}).get("fields") or []:
+        name = spec["path"]
+        value = F.try_variant_get(whole, f'$["{name}"]', "variant")
+        kind = F.schema_of_variant(value)
+        there = value.isNotNull() & (kind != "VOID")
+        if spec.get("required"):
+            told.append(F.when(~F.coalesce(there, F.lit(False)), F.lit(f"required field '{name}' is missing/null")))
+        declared = spec.get("type")
+        if declared in TYPE_NAMES:
+            test = _DECLARED[declared.removesuffix("[]")]
+            if declared.endswith("[]"):
+                items = F.try_variant_get(value, "$", "array<variant>")
+                fits = kind.startswith("ARRAY") & F.forall(F.transform(items, F.schema_of_variant), _sure(test))
+            else:
+                fits = test(kind)
+            got = F.when(kind == "STRING", "str").when(kind == "BOOLEAN", "bool").when(kind == "BIGINT", "int").when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "dict").otherwise("float")
+            told.append(F.when(there & ~fits, F.concat(F.lit(f"field '{name}' expected {declared}, got "), got)))
+    found = F.filter(F.array(*told), lambda x: x.isNotNull()) if told else F.array().cast("array<string>")
+    return profiles.withColumn("problems", found)
