@@ -395,8 +395,9 @@ class _Memo:
 class Encoder:
     """Whole texts to packed ids. ``pack`` turns a list of ids into what is joined by ``joiner``.
 
-    A single space before a non-space always begins a pre-token, so texts are first cut there; the packed
-    ids of cut pieces are remembered, and only new pieces run the pattern and the transducer.
+    In the default pattern a single space before a non-space always begins a pre-token, so texts are first cut there; the packed
+    ids of cut pieces are remembered, and only new pieces run the pattern and the transducer. With any other pattern a
+    text is one piece.
     """
 
     INNER_SPACE = re.compile(r" \s")
@@ -406,18 +407,23 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, pack, joiner, bound: int = 200_000):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
+        self.default = pattern == default_vocabulary()[1]
         self.pack, self.joiner = pack, joiner
         self.pieces = _Memo(bound)
         self.words = _Memo(bound)
 
     def _cut(self, text: str) -> list[str]:
         """The text's pieces; all but the first stand for themselves with a space before."""
+        if not self.default:
+            return [text]
         parts = text.split(" ")
         if "" in parts or self.INNER_SPACE.search(text):
             parts = self.CUT.split(text)
         return parts
 
     def _split(self, piece: str) -> list[str]:
+        if not self.default:
+            return [m[0] for m in self.pattern.finditer(piece) if m[0]]
         if piece[1:].isalpha() and piece[0] == " ":
             return [piece]
         if piece[-1] in ".," and piece[1:-1].isalpha() and piece[0] == " ":
