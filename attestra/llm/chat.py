@@ -308,6 +308,19 @@ def compile_template(template: str) -> Callable[[object], Iterator[Chunk]]:
     return lambda messages: run({"messages": messages}, False)
 
 
+def turn_by_turn(template: str) -> str:
+    """``template``, if it is one loop over the messages whose body sees only its own message; else TemplateError.
+
+    Only such a template gives the same text for a conversation as for its messages one by one.
+    """
+    nodes = folded(parse(template))
+    if len(nodes) != 1 or nodes[0][0] != "for" or "messages" not in repr(nodes[0][2]):
+        raise TemplateError("the template must be one loop over messages, with nothing before or behind it")
+    if "('name', ('messages'" in repr(nodes[0][3]):
+        raise TemplateError("the loop's body must not read messages")
+    return template
+
+
 def render(template: str, messages) -> tuple[str, list[tuple[int, int]]]:
     """Formatted text and the spans of its generation markers."""
     text, spans = "", []
@@ -354,8 +367,9 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE, kee
     """Per conversation the digests of what its formatted text says when read back, on request the text and its spans.
 
     Rows are dealt out by conversation and sorted on disk; a task holds one message at a time (all of a
-    conversation only where ``keep_text`` asks for the text).
+    conversation only where ``keep_text`` asks for the text), so ``template`` must be ``turn_by_turn``.
     """
+    turn_by_turn(template)
     kind = dict(conversations.dtypes)["conv_id"]
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     schema += ", formatted string, loss_spans array<struct<start:long,end:long>>" if keep_text else ""
