@@ -1,12 +1,15 @@
 """Token counts from flat, unindexed token files: a vectorised scan for the end-of-document id.
 
 A token file is a plain run of big-endian 16-bit ids, each document closed by ``EOD``; nothing says where
-documents begin. Files are cut into blocks of a fixed size; each block is searched on its own with numpy,
-and documents that cross blocks are stitched from the blocks' summaries by a prefix scan (a running last
-separator and a running number of separators over the blocks of a file).
-
-An empty file has no documents. Ids behind the last separator are a document without an end, reported with
-``closed`` false. Consecutive separators are empty documents.
+documents begin. Spark splits files of any size; its line reader, told to end lines at a byte that cannot part a separator, gives
+each split the bytes behind the first such byte. What a split reads is cut into blocks, each searched on its own with numpy for the
+separator's two bytes at even and odd places. A prefix scan over the blocks of a file then gives each block the place of
+its first byte, so which parity is the true one, and the last separator and the number of separators before it, which
+stitches documents that cross blocks.
+
+An empty file has no documents. Ids behind the last separator are a document without an end, reported with ``closed`` false; a
+single byte behind the last whole id is left out. Consecutive separators are empty documents. Files are known by their
+whole path. An empty table is written as files without documents; other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestra.llm import bpe
-from attestra.llm.common import map_rows, shared_path, table
+from attestra.llm.common import broadcast_if_small, map_rows, materialize, shared_path, table
 
 EOD = 50256
-#: Ids in a block.
-BLOCK_IDS = 1 << 19
-#: Documents in a file at most, so that no file comes near what one row can hold.
+#: Bytes in a block, or a little more.
+BLOCK_BYTES = 1 << 20
+#: Documents in a file at most, so that files are of a size that any reader takes.
 FILE_DOCS = 20_000
 
 
@@ -54,61 +57,90 @@ def write_token_files(
     )
 
 
-def scan_token_files(spark: SparkSession, path: str, eod: int = EOD, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """One row per document: file, its number in the file, first id, number of ids, and whether it is closed."""
-    width = 2 * block_ids
-    blocks = (
-        spark.read.format("binaryFile").load(path)
-        .where(F.col("length") > 0)
-        .select(
-            F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
-            "content",
-            F.explode(F.expr(f"sequence(0, cast((length - 1) div {width} as int))")).alias("block"),
-        )
-        .select("file", "block", F.expr(f"substring(content, block * {width} + 1, {width})").alias("ids"))
+def line_byte(eod: int) -> int:
+    """A byte below 128 behind which no separator can be parted: not its first byte, its last one where that will do."""
+    return eod & 0xFF if eod & 0xFF < 0x80 and eod & 0xFF != eod >> 8 else next(b for b in (0, 1) if b != eod >> 8)
+
+
+def scan_blocks(spark: SparkSession, path: str, eod: int = EOD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks as (file, split, block, size, places, file_size): ``places`` are those of the separator's bytes in the block."""
+    line = bytes([line_byte(eod)])
+    rows = spark.read.option("lineSep", line.decode("ascii")).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("file_size"),
+        F.col("value").cast("binary").alias("bytes"),
     )
 
     def search(batches):
+        at, number, held, size = None, 0, [], 0
+        out: list[tuple] = []
+
+        def block():
+            data = np.frombuffer(line.join([*held, b""]), np.uint8)
+            places = np.flatnonzero((data[:-1] == eod >> 8) & (data[1:] == eod & 0xFF)) if len(data) > 1 else []
+            out.append((at[0], at[1], number, len(data), list(map(int, places)), at[2]))
+
+        def batch_of():
+            columns = list(zip(*out, strict=True))
+            out.clear()
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "split", "block", "size", "places", "file_size"])
+
         for batch in batches:
-            files, numbers, found, sizes = [], [], [], []
-            for file, number, data in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True
-            ):
-                ids = np.frombuffer(data.as_buffer(), ">u2")
-                files.append(file)
-                numbers.append(number)
-                found.append((np.flatnonzero(ids == eod) + number * block_ids).tolist())
-                sizes.append(number * block_ids + len(ids))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(files, pa.string()), pa.array(numbers, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(sizes, pa.int64())],
-                ["file", "block", "ends", "size"],
-            )
-
-    found = blocks.mapInArrow(search, "file string, block int, ends array<long>, size long")
-    order = Window.partitionBy("file").orderBy("block")
+            for file, split, file_size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at is None or (file, split) != at[:2]:
+                    if held:
+                        block()
+                    at, number, held, size = (file, split, file_size), 0, [], 0
+                held.append(data)
+                size += len(data) + 1
+                if size >= block_bytes:
+                    block()
+                    number, held, size = number + 1, [], 0
+            if out:
+                yield batch_of()
+        if held:
+            block()
+        if out:
+            yield batch_of()
+
+    return rows.mapInArrow(search, "file string, split long, block long, size long, places array<long>, file_size long")
+
+
+def scan_token_files(spark: SparkSession, path: str, eod: int = EOD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: file, its number in the file, first id, number of ids, and whether it is closed.
+
+    Blocks are written once; only their summaries, a row of numbers each, meet by file for the prefix scan.
+    """
+    blocks = materialize(scan_blocks(spark, path, eod, block_bytes), "blocks")
+    key = ["file", "split", "block"]
+    order = Window.partitionBy("file").orderBy("split", "block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("file")
-    stitched = found.select(
-        "file", "block", "ends",
-        F.coalesce(F.max(F.try_element_at("ends", F.lit(-1))).over(before), F.lit(-1)).alias("carried"),
-        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("seen"),
-        F.when(F.col("block") == F.max("block").over(whole), F.max("size").over(whole)).alias("file_size"),
-    )
-    closed = stitched.select(
-        "file",
-        F.explode(F.expr("""
-            transform(ends, (e, i) -> struct(
-                seen + i as doc, if(i = 0, carried, ends[i - 1]) + 1 as first_id,
-                e - if(i = 0, carried, ends[i - 1]) - 1 as n_tokens, true as closed))""")).alias("d"),
-    )
-    last = F.coalesce(F.try_element_at("ends", F.lit(-1)), "carried")
-    still_open = stitched.where(F.col("file_size").isNotNull() & (F.col("file_size") - 1 > last)).select(
-        "file",
-        F.struct(
-            (F.col("seen") + F.size("ends")).alias("doc"), (last + 1).alias("first_id"),
-            (F.col("file_size") - last - 1).alias("n_tokens"), F.lit(False).alias("closed"),
-        ).alias("d"),
+    # The reader ends a file's last line even where its byte is missing, so places are held against the file's size.
+    sized = blocks.select(*key, "size", "file_size", *[
+        F.expr(f"filter(places, p -> p % 2 = {q})").alias(f"p{q}") for q in (0, 1)
+    ]).select(*key, "size", "file_size", *[F.size(f"p{q}").alias(f"n{q}") for q in (0, 1)], *[F.try_element_at(f"p{q}", F.lit(-1)).alias(f"last{q}") for q in (0, 1)])
+    begun = sized.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("even", F.col("start") % 2 == 0)
+    begun = begun.withColumn("last", F.col("start") + F.when(F.col("even"), F.col("last0")).otherwise(F.col("last1"))).withColumn(
+        "n", F.when(F.col("even"), F.col("n0")).otherwise(F.col("n1")))
+    past = F.col("last") + 2 > F.col("file_size")
+    begun = begun.withColumn("n", F.when(past, F.col("n") - 1).otherwise(F.col("n")))
+    # A place past the end can only be the last of the file, behind which nothing is carried.
+    scanned = begun.select(
+        *key, "start", "file_size",
+        F.coalesce(F.max("last").over(before), F.lit(-2)).alias("carried"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("seen"),
+        F.lead("block").over(order).isNull().alias("final"),
     )
+    places = F.filter(F.transform("places", lambda p: F.col("start") + p), lambda p: (p % 2 == 0) & (p + 2 <= F.col("file_size")))
+    placed = blocks.drop("file_size", "size").join(broadcast_if_small(scanned, "file"), key).withColumn("ends", places)
+    ended = placed.select("file", "seen", "carried", "ends", "final", F.expr("file_size div 2").alias("ids"))
+    closed = ended.select("file", F.explode(F.expr("""
+        transform(ends, (e, i) -> struct(
+            seen + i as doc, (if(i = 0, carried, ends[i - 1]) + 2) div 2 as first_id,
+            (e - if(i = 0, carried, ends[i - 1]) - 2) div 2 as n_tokens, true as closed))""")).alias("d"))
+    last = F.expr("(coalesce(try_element_at(ends, -1), carried) + 2) div 2")
+    still_open = ended.where(F.col("final") & (F.col("ids") > last)).select("file", F.struct(
+        (F.col("seen") + F.size("ends")).alias("doc"), last.alias("first_id"), (F.col("ids") - last).alias("n_tokens"), F.lit(False).alias("closed"),
+    ).alias("d"))
     return closed.unionByName(still_open).select("file", "d.doc", "d.first_id", "d.n_tokens", "d.closed")
 
 
@@ -117,7 +149,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_token_files(table(spark, sf_dir, "documents"), path)
     found = scan_token_files(spark, path)
     return found.select(
-        F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("file_no"),
-        F.regexp_extract("file", r"-c(\d+)", 1).cast("int").alias("file_part"),
+        F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("int").alias("file_no"),
+        F.regexp_extract("file", r"-c(\d+)[^/]*$", 1).cast("int").alias("file_part"),
         "doc", "first_id", "n_tokens", "closed",
     )
