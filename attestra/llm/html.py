@@ -3,13 +3,15 @@
 A page becomes the text lines of its blocks. Pages are paired with the page of nearest URL path within the host; the
 two pages' lines are aligned by longest common subsequence, and shared lines, which are the site's
 and not the page's, are deleted. Elements that are never the article (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, comments) are recognised by their names. An exact check follows: where the pair has half or
-more of the text inside the ``article`` or ``main`` element too, the page is a copy and keeps that element's lines, and
-a page that would lose everything to its pair keeps its own lines.
+adverts, forms, scripts, comments) are recognised by their names. An exact check follows, as an article may quote what another
+quotes: a shared line inside the ``article`` or ``main`` element is restored where it is a sentence, of ``SENTENCE_WORDS`` words
+or ``SENTENCE_CHARS`` characters or more; where the pair has half or more of that element's text too, the page is a copy and keeps
+all of it; and a page that would lose everything to its pair keeps its own lines.
 
 The pair is the neighbour among the host's distinct paths, sorted, with the longer common part.
 
-Null and empty pages give an empty text; null URLs share one empty host; repeated rows each give their row.
+Null and empty pages give an empty text; null URLs share one empty host; repeated rows each give their row; an empty table
+gives an empty one. Pages of any length are read whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose end may be left out: a new one ends the open one.
 AUTO = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
+#: A shared line of an article that has so many words, or characters, is a sentence and no furniture of the site.
+SENTENCE_WORDS, SENTENCE_CHARS = 5, 40
+
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title)\b(?P<attrs0>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>(?P<inner>.*?)(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>|</?[A-Za-z][^<>]*\Z",
@@ -174,12 +179,12 @@ def _hash(line: str) -> int:
 
 
 def main_text(lines: list[str], kinds: list[int], shared: list[bool]) -> str:
-    """Lines that the difference leaves. Where half or more of the article's text is shared, the page is a copy and its article is restored."""
+    """Lines that the difference leaves, and shared ones that the check restores to the article."""
     rows = [(t, k, s) for t, k, s in zip(lines, kinds, shared, strict=True) if k]
     article = [(len(t), s) for t, k, s in rows if k == 2]
     copied = 2 * sum(n for n, s in article if s) >= sum(n for n, _ in article) > 0
-    kept = [t for t, k, s in rows if not s or copied and k == 2] or [t for t, _, _ in rows]
-    return "\n".join(kept)
+    kept = [t for t, k, s in rows if not s or k == 2 and (copied or len(t) >= SENTENCE_CHARS or len(t.split()) >= SENTENCE_WORDS)]
+    return "\n".join(kept or [t for t, _, _ in rows])
 
 
 def nearest_paths(paths: DataFrame) -> DataFrame:

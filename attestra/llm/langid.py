@@ -6,7 +6,8 @@ profile has the least out-of-place distance: the sum over the document's n-grams
 the longest distance for an n-gram that the language's profile lacks. Ties go to the language first in order.
 
 Null texts, texts without letters and an empty training set give ``und`` with score 0. Repeated documents
-count as often as they occur. Rows without a language are not learned from.
+count as often as they occur. Rows without a language are not learned from. An empty table gives an empty one. Texts of any
+length are read whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

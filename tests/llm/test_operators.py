@@ -124,6 +124,8 @@ def test_html_versions_of_one_url_are_no_pair(spark):
 def test_html_difference_decides_beside_an_article(spark):
     rows = [(k, f"http://a.example/{k}", f"<p>By {k}<article><p>{'own words of page %d ' % k * 3}<p>Read more</article><p>Read on") for k in (1, 2)]
     assert extracted(spark, rows) == {k: f"By {k}\n{('own words of page %d ' % k * 3).strip()}" for k in (1, 2)}
+    rows = [(k, f"http://a.example/{k}", f"<p>we all say this one<article><p>{'own words of page %d ' % k * 9}<p>we all say this one</article>") for k in (1, 2)]
+    assert extracted(spark, rows) == {k: f"{('own words of page %d ' % k * 9).strip()}\nwe all say this one" for k in (1, 2)}
     rows = [(k, f"http://a.example/{k}", f"<p>top<article><p>a copied text<p>{k}</article>") for k in (1, 2)]
     assert extracted(spark, rows) == {k: f"a copied text\n{k}" for k in (1, 2)}
 
