@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import SLICE, broadcast_if_small, map_rows, table
+from attestra.llm.common import SLICE, broadcast_if_small, map_rows, materialize, table
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton, which takes about 70 times as much memory in each Python worker.
@@ -103,22 +104,22 @@ def scan(automaton, words: list[bytes], hit: bytearray, items: set) -> None:
 _AUTOMATA: dict = {}
 
 
-def _automaton(block, window: int):
-    """The block's automaton, built once a worker; a task has one block, so one automaton is held at a time."""
-    key = (block.id, window) if hasattr(block, "id") else id(block)
-    if key not in _AUTOMATA:
+def _automaton(block: tuple, window: int):
+    """The automaton of a block (name, broadcast items), built once a worker; a task has one block, so one automaton is held at a time."""
+    name, items = block
+    if (name, window) not in _AUTOMATA:
         _AUTOMATA.clear()
-        _AUTOMATA[key] = build_automaton(block.value, window)
-    return _AUTOMATA[key]
+        _AUTOMATA[name, window] = build_automaton(items.value, window)
+    return _AUTOMATA[name, window]
 
 
 def benchmark_blocks(spark: SparkSession, items: DataFrame, item_col: str, text_col: str) -> list:
-    """The items as broadcast lists, each of BLOCK_BYTES or so; their number follows the benchmark's size."""
+    """The items as (name, broadcast list), each of BLOCK_BYTES or so; their number follows the benchmark's size."""
     size = items.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = size // BLOCK_BYTES + 1
     block = F.pmod(F.xxhash64(F.col(item_col), F.col(text_col)), F.lit(n))
     return [
-        spark.sparkContext.broadcast([tuple(r) for r in items.where(block == i).select(item_col, text_col).collect()])
+        (uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in items.where(block == i).select(item_col, text_col).collect()]))
         for i in range(n)
     ]
 
@@ -199,7 +200,7 @@ def contamination(
                 hits[-1][r["start"] : r["end"]] = b"\x01" * (r["end"] - r["start"])
         return finished(keys, texts, hits, [sorted(n or []) for n in names])
 
-    found = broadcast_if_small(_hits_by_digest(docs, blocks, text_col, window), "__runs")
+    found = broadcast_if_small(materialize(_hits_by_digest(docs, blocks, text_col, window), "hits"), "__runs")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.sha2(F.col(text_col).cast("binary"), 256).alias("__digest"))
     return map_rows(rows.join(found, "__digest", "left").select("__id", "__text", "__runs", "__items"), merged, schema)
 
@@ -214,8 +215,9 @@ def keep_clean(
     if len(blocks) > 1:
         digest_ = F.sha2(F.col(text_col).cast("binary"), 256)
         texts = docs.select(digest_.alias("__digest"), F.col(text_col).alias("__text")).dropDuplicates(["__digest"])
-        dirty = contamination(texts, items, "__digest", "__text", item_col, item_text_col, window).where(contaminated()).select("__digest")
-        return docs.join(broadcast_if_small(dirty, "__digest"), digest_.eqNullSafe(F.col("__digest")), "left_anti")
+        dirty = materialize(contamination(texts, items, "__digest", "__text", item_col, item_text_col, window).where(contaminated()).select("__digest"), "dirty")
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest_.alias("__digest"))
+        return rows.join(broadcast_if_small(dirty, "__digest"), "__digest", "left_anti").select("row.*")
     place = docs.columns.index(text_col)
 
     def run(batches):
