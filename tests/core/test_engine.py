@@ -4,20 +4,22 @@ import json
 
 import pytest
 
-from attestra.plans.engine import run, run_batch
+import attestra
+from attestra import run, run_batch
+from attestra.cli import main
 
-CSV = 'candidate_id,name,email,phone,current_company,title\nC-7,Nora Quist,nora.quist@example.com,(415) 555-0182,Brightwell,Staff Engineer\n'
+CSV = 'candidate_id,name,email,phone,current_company,title\nC-7,Nora Quist,nora.quist@brightmail.example,(312) 555-0147,Brightwell,Staff Engineer\n'
 ATS = {
-    "candidateId": "A-1", "firstName": "N.", "lastName": "Quist", "emailAddress": "Nora.Quist@example.com", "phoneNumber": "415-555-0182", "jobTitle": "Engineer",
+    "candidateId": "A-1", "firstName": "N.", "lastName": "Quist", "emailAddress": "Nora.Quist@brightmail.example", "phoneNumber": "312-555-0147", "jobTitle": "Engineer",
     "location": {"city": "Oakland", "state": "CA", "country": "USA"}, "yearsExperience": 8, "skills": ["js", "Python"], "githubUrl": "https://github.com/nora",
     "workHistory": [{"title": "Engineer", "company": "Brightwell", "startDate": "2021-01", "endDate": "present"}],
     "education": [{"institution": "UC Davis", "degree": "BS", "field": "Math", "endYear": 2016}],
 }
 RESUME = (
-    "Nora B Quist\nnora.quist@example.com | +1 415 555 0182\nlinkedin.com/in/nora\nSkills:\nLanguages: JavaScript, Rust\n"
+    "Nora B Quist\nnora.quist@brightmail.example | +1 312 555 0147\nlinkedin.com/in/nora\nSkills:\nLanguages: JavaScript, Rust\n"
     "Experience:\nEngineer, Brightwell (Jan 2021 - Present)\nEducation:\nB.S. Math, UC Davis, 2016\n"
 )
-NOTES = "Spoke 2024-05-11 by phone\nName: Nora Q\nEmail: nora.quist@exmaple.con\nLocation: the moon\n"
+NOTES = "Spoke 2024-05-11 by phone\nName: Nora Q\nEmail: nora.quist@brightmial.exampel\nLocation: the moon\n"
 
 
 @pytest.fixture(scope="module")
@@ -35,8 +37,8 @@ def test_gold_profile(spark, files):
     p, meta = json.loads(row["profile"]), json.loads(row["explain"])
     assert p["candidate_id"] == "C-7" and p["full_name"] == "Nora Quist"
     assert meta["full_name"]["confidence"] == 0.5939  # 1 * (1 - .45 * .9024)
-    assert p["emails"] == ["nora.quist@example.com"] and p["phones"] == ["+14155550182"]
-    assert meta["emails"]["provenance"][0]["decision"].endswith("; suppressed likely typo 'nora.quist@exmaple.con'")
+    assert p["emails"] == ["nora.quist@brightmail.example"] and p["phones"] == ["+13125550147"]
+    assert meta["emails"]["provenance"][0]["decision"].endswith("; suppressed likely typo 'nora.quist@brightmial.exampel'")
     assert p["location"] == {"city": "Oakland", "region": "CA", "country": "US"} and meta["location"]["confidence"] == 0.6325
     assert p["headline"] == "Staff Engineer at Brightwell" and meta["headline"]["confidence"] == 0.6558
     assert meta["links"]["confidence"] == 0.545 and p["links"]["linkedin"] == "linkedin.com/in/nora"
@@ -80,3 +82,29 @@ def test_batch_clusters(spark, files, tmp_path):
     rows = run_batch(spark, {"r2": {"ats_json": files["ats_json"]}, "r1": {"recruiter_csv": files["recruiter_csv"]}, "r3": {"ats_json": str(tmp_path / "o.json")}}).collect()
     assert [r["cluster"] for r in rows] == [["r1", "r2"], ["r3"]]
     assert json.loads(rows[0]["profile"])["candidate_id"] == "C-7"
+
+
+def test_same_input_same_output(spark, files):
+    rows = [run(spark, files).select("profile", "explain", "internal").first() for _ in range(2)]
+    assert rows[0] == rows[1]
+    inside = json.loads(rows[0]["internal"])
+    assert inside["full_name"]["value"] == "Nora Quist" and inside["skills"]["item_confidences"] and "overall_confidence" in inside
+
+
+def test_public_names():
+    for name in attestra.__all__:
+        assert callable(getattr(attestra, name)) or isinstance(getattr(attestra, name), dict)
+    with pytest.raises(AttributeError):
+        attestra.no_such_name
+
+
+def test_command_line(spark, files, tmp_path, capsys):
+    config = tmp_path / "c.json"
+    config.write_text(json.dumps({"fields": [{"path": "name", "from": "full_name"}, {"path": "site", "from": "links.portfolio", "required": True}]}))
+    out = tmp_path / "o.json"
+    assert main(["--recruiter_csv", files["recruiter_csv"], "--config", str(config), "--explain", "--out", str(out)]) == 0
+    told = capsys.readouterr()
+    assert told.out.strip() == f"wrote {out}" and "[validation] 1 problem(s):" in told.err and "  - required field 'site' is missing/null" in told.err
+    made = json.loads(out.read_text())
+    assert made["profile"] == {"name": "Nora Quist", "site": None} and made["valid"] is False and "full_name" in made["explain"]
+    assert main([]) == 2
