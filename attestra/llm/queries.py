@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from attestra.llm import bpe, chat, decontaminate, html, jaccard, langid, licenses, pii, quality, separators
 
 QUERIES = {
@@ -16,9 +15,6 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_quality_rules": quality.query,
     "op10_decontamination": decontaminate.query,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {"op6_license_scan": licenses.oracle()}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
