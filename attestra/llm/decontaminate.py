@@ -262,3 +262,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
+
+
+def oracle() -> str:
+    """Every run of words of a text against every window, by equality of text."""
+    words = lambda x: f"regexp_extract_all(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    return f"""
+with items as (select item_id, {words("text")} as w from benchmark),
+windows as (
+    select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as s
+    from (select item_id, w, least(len(w), {WINDOW}) as n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) as i from items where len(w) > 0)),
+texts as (select doc_id, {words("text")} as w from documents),
+runs as (
+    select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') as s
+    from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from texts, (select distinct n from windows) where len(w) >= n)),
+hits as (select distinct doc_id, i, n, item_id from runs join windows using (n, s)),
+covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(name, ',' order by name) as names from (select distinct doc_id, item_id::varchar as name from hits) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
+    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from texts left join covered using (doc_id) left join named using (doc_id)"""

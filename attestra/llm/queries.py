@@ -17,4 +17,9 @@ QUERIES = {
     "op10_decontamination": decontaminate.query,
 }
 
-ORACLES = {"op6_license_scan": licenses.oracle()}
+ORACLES = {
+    "op3_chat_format": chat.oracle(),
+    "op6_license_scan": licenses.oracle(),
+    "op7_ngram_jaccard": jaccard.oracle(),
+    "op10_decontamination": decontaminate.oracle(),
+}
