@@ -16,8 +16,8 @@ Links are sought in rounds, so that a group of near copies doesn't emit its pair
 1. in buckets of up to ``SMALL`` all pairs that the bounds leave; in larger ones, cut into blocks of about ``BLOCK`` by hash,
    only pairs that join two groups of their block (a forest, fewer pairs than members);
 2. where there are several blocks, the same between one delegate of each component in the bucket, until it adds nothing;
-3. in buckets that still hold several components, all pairs between different ones that the bounds leave and that were
-   not checked before. Large components have blocks of their own, which never meet each other.
+3. in buckets that gave pairs and still hold several components, all pairs between different ones that the bounds leave and
+   that were not checked before. Large components have blocks of their own, which never meet each other.
 
 So no link between components is lost. What is emitted beyond the forests are pairs that barely miss the similarity.
 
@@ -44,10 +44,11 @@ from attestra.operators.components import connected_components
 
 WIDTH = 3
 PERCENT = 90
-#: Documents in the sample that finds frequent shingles, in how many of them a frequent one is, and how many are told apart.
-SAMPLE, FREQUENT, MOST_FREQUENT = 8192, 2, 1 << 20
+#: The share of documents that are searched for frequent shingles is one in SAMPLE; in how many of them a frequent one is,
+#: and how many, the most frequent, are told apart. All three only affect the size of buckets.
+SAMPLE, FREQUENT, MOST_FREQUENT = 8, 2, 1 << 22
 #: Bits of a bitmap: the power of two from 4 times the members on, within these.
-BITS_LOW, BITS_HIGH = 64, 1 << 15
+BITS_LOW, BITS_HIGH = 64, 1 << 13
 LEAF = 32
 #: Buckets up to SMALL give all their pairs at once; above BLOCK they are cut.
 SMALL, BLOCK = 8, 2000
@@ -104,21 +105,19 @@ def digest_of(members: np.ndarray) -> bytes:
 
 
 def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of at least FREQUENT documents of a sample by hash of the id, of SAMPLE documents or so, and in how many they are."""
-    n = docs.select(id_col).count()
-    part = int(min(1.0, SAMPLE / max(n, 1)) * 1_000_000)
-    some = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < part).select(text_col)
+    """Shingles of at least FREQUENT documents of a sample by hash of the id, and in how many they are; MOST_FREQUENT at most."""
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(SAMPLE)) == 0).select(text_col)
 
     def members(batches):
         for batch in sliced(batches):
             sets = list(sets_in_steps(batch.column(0).to_pylist(), width))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["s"])
 
-    counted = some.mapInArrow(members, "s long").groupBy("s").count().where(F.col("count") >= FREQUENT)
-    rows = counted.orderBy(F.desc("count"), "s").limit(MOST_FREQUENT).collect()
-    found = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    counted = some.mapInArrow(members, "s long").groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("c")).where(F.col("c") >= FREQUENT)
+    rows = counted.orderBy(F.desc("c"), "s").limit(MOST_FREQUENT).toArrow()
+    found = rows["s"].to_numpy().view(np.uint64)
     order = np.argsort(found)
-    return found[order], np.array([r[1] for r in rows], np.int64)[order]
+    return found[order], rows["c"].to_numpy()[order]
 
 
 def prefix_of(members: np.ndarray, take: int, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -278,47 +277,85 @@ def bucket_pairs(sizes, bits, labels, percent: int, forest: bool, sides=None) ->
     return first, second
 
 
-def small_pairs(keys, sizes, bits, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places with equal keys that the bounds leave, in buckets of up to SMALL; sorted by key and size."""
-    members = Members(sizes, bits)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for k in range(1, min(SMALL, len(keys))):
-        i = np.flatnonzero((keys[k:] == keys[:-k]) & (100 * sizes[:-k] >= percent * sizes[k:]))
-        i = i[members.reach(i, i + k, percent)]
-        found.append((i, i + k))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+def small_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs, digests (a, b) and ids (u, v), in buckets of up to SMALL, from rows (key, rep, n).
+
+    Pairs whose sizes allow it meet first, each once however many buckets have it; then their bitmaps decide.
+    """
+    kind = members.schema["rep"].dataType
+    small = SMALL
+
+    def run(batches):
+        waiting: list[pa.RecordBatch] = []
+
+        def pairs(rows: pa.Table) -> pa.RecordBatch:
+            keys, sizes, ids = rows["key"].to_numpy(), rows["n"].to_numpy(), rows["rep"].to_pylist()
+            found = []
+            for k in range(1, min(small, len(keys))):
+                i = np.flatnonzero((keys[k:] == keys[:-k]) & (100 * sizes[:-k] >= percent * sizes[k:])).tolist()
+                found += [(ids[x], ids[x + k]) if ids[x] <= ids[x + k] else (ids[x + k], ids[x]) for x in i]
+            found = sorted(set(found))
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], rows["rep"].type) for k in (0, 1)], ["u", "v"])
+
+        for batch in sliced(batches):
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([*waiting, batch])
+            keys = rows["key"].to_numpy()
+            last = np.flatnonzero(keys != keys[-1])
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last bucket may go on in the next batch
+            if cut:
+                yield pairs(rows.slice(0, cut))
+            waiting = rows.slice(cut).to_batches()
+        if waiting:
+            yield pairs(pa.Table.from_batches(waiting))
+
+    def reach(batches):
+        for batch in sliced(batches):
+            k = batch.num_rows
+            both = [batch.column(c).to_pylist() for c in (2, 3, 4, 5, 6, 7)]  # digests, sizes and bitmaps of either side
+            members = Members(np.array(both[2] + both[3], np.int64), both[4] + both[5])
+            some = pa.array(np.flatnonzero(members.reach(np.arange(k), np.arange(k, 2 * k), percent))) if k else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(some) for c in (2, 3, 0, 1)], ["a", "b", "u", "v"])
+
+    met = members.select("key", "rep", "n").repartition("key").sortWithinPartitions("key", "n", "rep")
+    met = materialize(met.mapInArrow(run, StructType([StructField("u", kind), StructField("v", kind)])).distinct(), "met")
+    side = lambda c, k: reps.select(F.col("rep").alias(c), F.col("digest").alias(f"d{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
+    both = met.join(side("u", 0), "u").join(side("v", 1), "v").where("d0 <> d1").select("u", "v", "d0", "d1", "n0", "n1", "b0", "b1")
+    out = StructType([StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("u", kind), StructField("v", kind)])
+    least = F.col("a") <= F.col("b")
+    return both.mapInArrow(reach, out).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(least, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(least, F.col("v")).otherwise(F.col("u")).alias("v")
+    )
 
 
 def _pairs_of(members: DataFrame, percent: int, mode: str) -> DataFrame:
-    """Candidate pairs of representatives, digests (a, b) and ids (u, v), from rows (cell, side, digest, rep, n, label, bits).
+    """Candidate pairs of representatives, digests (a, b), ids (u, v) and their cell, from rows (cell, side, digest, rep, n, label, bits).
 
-    A bucket is the rows of one cell; ``mode``: small, forest or all. Rows of a cell with both sides 0 and 1 only meet across.
+    A bucket is the rows of one cell; ``mode``: forest or all. Rows of a cell with both sides 0 and 1 only meet across.
     """
     kind = members.schema["rep"].dataType
 
     def done(rows: pa.Table) -> pa.RecordBatch:
         cell, sizes = rows["cell"].to_numpy(), rows["n"].to_numpy()
         bits = rows["bits"].to_pylist()
-        if mode == "small":
-            first, second = small_pairs(cell, sizes, bits, percent)
-        else:
-            labels = np.unique(np.array(rows["label"].to_pylist()), return_inverse=True)[1]
-            sides = rows["side"].to_numpy()
-            first, second = [], []
-            edge = np.flatnonzero(cell[1:] != cell[:-1]) + 1
-            for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(cell)], strict=True):
-                if b - a > 1 and (labels[a:b] != labels[a]).any():
-                    both = sides[a:b] if (sides[a:b] != sides[a]).any() else None
-                    p, q = bucket_pairs(sizes[a:b], bits[a:b], labels[a:b], percent, mode == "forest", both)
-                    first += [a + x for x in p]
-                    second += [a + x for x in q]
+        labels = np.unique(np.array(rows["label"].to_pylist()), return_inverse=True)[1]
+        sides = rows["side"].to_numpy()
+        first, second = [], []
+        edge = np.flatnonzero(cell[1:] != cell[:-1]) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(cell)], strict=True):
+            if b - a > 1 and (labels[a:b] != labels[a]).any():
+                both = sides[a:b] if (sides[a:b] != sides[a]).any() else None
+                p, q = bucket_pairs(sizes[a:b], bits[a:b], labels[a:b], percent, mode == "forest", both)
+                first += [a + x for x in p]
+                second += [a + x for x in q]
         digests = rows["digest"].to_pylist()
         swap = [(q, p) if digests[q] < digests[p] else (p, q) for p, q in zip(first, second, strict=True)]
         p, q = (pa.array([s[k] for s in swap], pa.int64()) for k in (0, 1))
         return pa.RecordBatch.from_arrays(
             [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (
-                rows["digest"].take(p), rows["digest"].take(q), rows["rep"].take(p), rows["rep"].take(q))],
-            ["a", "b", "u", "v"],
+                rows["digest"].take(p), rows["digest"].take(q), rows["rep"].take(p), rows["rep"].take(q), rows["cell"].take(p))],
+            ["a", "b", "u", "v", "cell"],
         )
 
     def run(batches):
@@ -337,8 +374,8 @@ def _pairs_of(members: DataFrame, percent: int, mode: str) -> DataFrame:
             yield done(pa.Table.from_batches(waiting))
 
     sorted_ = members.select("cell", "side", "digest", "rep", "n", "label", "bits").repartition("cell").sortWithinPartitions("cell", "n", "digest")
-    out = StructType([StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("u", kind), StructField("v", kind)])
-    return sorted_.mapInArrow(run, out).distinct()
+    out = StructType([StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("u", kind), StructField("v", kind), StructField("cell", LongType())])
+    return sorted_.mapInArrow(run, out)
 
 
 def check_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -378,18 +415,22 @@ def check_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, w
 
 
 def buckets_of(reps: DataFrame) -> DataFrame:
-    """Rows (key, c, digest, rep, n, bits) of the prefix buckets of ``c`` representatives, two or more; of equal buckets one."""
-    keys = reps.select("digest", F.explode("prefix").alias("key"))
-    crowded = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("digest")).alias("x"), F.bit_xor(F.xxhash64("digest", F.lit(1))).alias("y")
-    ).where("c > 1")
-    kept = materialize(crowded.groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key", "c"), "keys")
-    placed = materialize(keys.join(broadcast_if_small(kept, "key"), "key"), "buckets")
-    return materialize(placed.join(reps.select("digest", "rep", "n", "bits"), "digest").select("key", "c", "digest", "rep", "n", "bits"), "placed")
+    """Rows (key, c, rep) of the prefix buckets of ``c`` representatives, two or more; of buckets with equal members one."""
+    keys = reps.select("rep", F.explode("prefix").alias("key"))
+    crowded = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "crowded")
+    rows = materialize(keys.join(crowded, "key"), "buckets")
+    marks = [F.xxhash64("rep", F.lit(k)) for k in range(3)]
+    alike = rows.groupBy("key", "c").agg(
+        F.bit_xor(marks[0]).alias("x"), *[F.sum(F.shiftright(m, 32)).alias(f"s{k}") for k, m in enumerate(marks)]
+    ).groupBy("c", "x", "s0", "s1", "s2").agg(F.min("key").alias("key"))
+    kept = materialize(alike.select("key"), "keys")
+    placed = materialize(rows.join(kept, "key", "left_semi").select("key", "c", "rep"), "placed")
+    discard(crowded, rows, kept)
+    return placed
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
-    """Rows (key, digest, rep, n, label, bits) of large buckets, dealt to cells in which all pairs of different labels meet.
+    """Rows (key, rep, label) of large buckets, dealt to cells in which all pairs of different labels meet.
 
     A label of BLOCK members or more in a bucket has blocks of its own, the others share blocks; a row goes to a cell for each
     block that its own must meet.
@@ -402,7 +443,7 @@ def blocks_of(rows: DataFrame) -> DataFrame:
     dealt = rows.join(count.select("key", "label", "own"), ["key", "label"]).join(
         parts.withColumnRenamed("own", "own_").withColumnRenamed("key", "key_"), (F.col("key") == F.col("key_")) & F.col("own").eqNullSafe(F.col("own_"))
     ).drop("key_", "own_").join(every, "key")
-    mine = F.struct("own", F.pmod(F.xxhash64("digest"), F.col("k")).cast("int").alias("part"))
+    mine = F.struct("own", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int").alias("part"))
     dealt = dealt.withColumn("mine", mine).withColumn(
         "other", F.explode(F.filter("others", lambda o: F.col("own").isNull() | ~o["own"].eqNullSafe(F.col("own"))))
     )
@@ -418,28 +459,41 @@ def several_labels(rows: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: id, ``n_shingles`` and ``component_id``, the least id that links reach, itself included."""
-    described = describe(docs, id_col, text_col, width, percent)
-    some = described.where("digest is not null and id is not null")
+    whole = describe(docs, id_col, text_col, width, percent)
+    described = materialize(whole.select("id", "n", "digest"), "described")
+    some = whole.where("digest is not null and id is not null")
     copies = materialize(some.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "copies")
     member_of = described.select("id", "n", "digest").join(broadcast_if_small(copies, "rep"), "digest", "left").select(
         "id", "n", "digest", F.coalesce(F.when(F.col("id").isNotNull(), F.col("rep")), "id").alias("rep")
     )
     once = some.join(broadcast_if_small(copies, "rep"), "digest", "left").where("rep is null or rep = id")
     reps = materialize(once.where("rep is null").unionByName(once.where("rep is not null").dropDuplicates(["digest"])).withColumn("rep", F.col("id")), "reps")
+    discard(whole)
+    some = described.where("digest is not null and id is not null")
     # Texts of one id are one document.
     several = some.groupBy("id").agg(F.min(F.xxhash64("digest")).alias("low"), F.max(F.xxhash64("digest")).alias("high")).where("low <> high").select("id")
     edges = materialize(member_of.where("digest is not null").join(several, "id", "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v")), "same")
 
-    placed = buckets_of(reps)
-    discard(reps)
-    plain = placed.withColumn("side", F.lit(0)).withColumn("label", F.xxhash64("digest"))
+    placed, written = buckets_of(reps), reps
+    reps = reps.select("rep", "digest", "n", "bits")
+    sizes = reps.select("rep", "n").distinct()
+    ends = ["a", "b", "u", "v"]
+
+    def pairs_in(rows: DataFrame, mode: str) -> DataFrame:
+        """Digests, sizes and bitmaps join the rows (cell, side, rep, label) only on their way to the cells."""
+        return _pairs_of(rows.join(reps, "rep"), percent, mode)
+
+    plain = placed.withColumn("side", F.lit(0)).withColumn("label", F.xxhash64("rep"))
     large = plain.where(F.col("c") > SMALL)
-    block = F.pmod(F.xxhash64("digest"), F.ceil(F.col("c") / BLOCK).cast("long"))
-    tried = materialize(
-        _pairs_of(plain.where(F.col("c") <= SMALL).withColumn("cell", F.col("key")), percent, "small").unionByName(
-            _pairs_of(large.withColumn("cell", F.when(F.col("c") > BLOCK, F.xxhash64("key", block)).otherwise(F.col("key"))), percent, "forest")
-        ).distinct(), "tried",
-    )
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK).cast("long"))
+    few = small_pairs(placed.where(F.col("c") <= SMALL).join(sizes, "rep"), reps, percent)
+    cell = F.when(F.col("c") > BLOCK, F.xxhash64("key", block)).otherwise(F.col("key"))
+    first = materialize(few.withColumn("cell", F.lit(None).cast("long")).unionByName(pairs_in(large.withColumn("cell", cell), "forest")).distinct(), "first")
+    tried = materialize(first.select(*ends).distinct(), "tried")
+    # A forest leaves pairs out only beside one that it gives, so buckets that gave none are done, if they were not cut.
+    gave = materialize(first.where("cell is not null").select(F.col("cell").alias("key")).distinct(), "gave")
+    open_ = large.where(F.col("c") <= BLOCK).join(broadcast_if_small(gave, "key"), "key", "left_semi")
+    cut = large.where(F.col("c") > BLOCK)
 
     def labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
         labels = found.select(F.col("node").alias("rep"), "component")
@@ -450,28 +504,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     found = connected_components(edges.unionByName(links), "u", "v")
     most = placed.agg(F.max("c")).first()[0] or 0
     for _ in range(DELEGATE_ROUNDS if most > BLOCK else 0):
-        delegate = F.min(F.struct(F.xxhash64("digest", F.lit(2)).alias("h"), "digest", "rep", "n", "bits")).alias("d")
-        one = labelled(large.where(F.col("c") > BLOCK), found).groupBy("key", "label").agg(delegate).select("key", "label", "d.*")
+        delegate = F.min(F.struct(F.xxhash64("rep", F.lit(2)).alias("h"), "rep")).alias("d")
+        one = labelled(cut, found).groupBy("key", "label").agg(delegate).select("key", "label", "d.*")
         many = one.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
         cell = F.xxhash64("key", F.pmod(F.col("h"), F.ceil(F.col("m") / BLOCK).cast("long")))
-        again = _pairs_of(one.join(many, "key").withColumn("cell", cell).withColumn("side", F.lit(0)), percent, "forest")
-        again = materialize(again.join(tried, ["a", "b"], "left_anti"), "delegates")
+        again = pairs_in(one.join(many, "key").withColumn("cell", cell).withColumn("side", F.lit(0)), "forest")
+        again = materialize(again.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "delegates")
         more = check_pairs(docs, again, id_col, text_col, width, percent)
         tried = materialize(tried.unionByName(again), "tried")
         if more.isEmpty():
             break
         found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "u", "v")
 
-    left = materialize(labelled(large, found), "left")
-    within = _pairs_of(left.where(F.col("c") <= BLOCK).withColumn("cell", F.col("key")), percent, "all")
+    left = materialize(labelled(open_, found).select("key", "side", "rep", "label"), "left")
+    rest = pairs_in(left.withColumn("cell", F.col("key")), "all")
     if most > BLOCK:
-        within = within.unionByName(_pairs_of(blocks_of(left.where(F.col("c") > BLOCK)), percent, "all")).distinct()
-    rest = materialize(within.join(tried, ["a", "b"], "left_anti"), "rest")
+        rest = rest.unionByName(pairs_in(blocks_of(labelled(cut, found)), "all"))
+    rest = materialize(rest.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
         more = check_pairs(docs, rest, id_col, text_col, width, percent)
         if not more.isEmpty():
             found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "u", "v")
-    discard(tried, left, rest, placed, edges, links)
+    discard(written, first, tried, gave, left, rest, placed, edges, links)
     labels = found.select(F.col("node").alias("rep"), "component")
     return member_of.join(broadcast_if_small(labels, "rep"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
@@ -480,3 +534,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """All pairs that share a shingle, and all paths of links: fit for small tables only."""
+    return f"""
+with recursive texts as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+shingles as (
+    select distinct doc_id, array_to_string(w[i : i + {WIDTH - 1}], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - {WIDTH - 1}, 1) + 1)) as i from texts where len(w) > 0)),
+sizes as (select t.doc_id, count(s)::bigint as n from texts t left join shingles using (doc_id) group by t.doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all),
+links as (select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= {PERCENT} * (p.n + q.n - c)),
+both_ways as (select x, y from links union all select y, x from links),
+reach as (select doc_id as a, doc_id as b from texts union select a, y from reach join both_ways on x = b)
+select s.doc_id, s.n as n_shingles, min(r.b) as component_id from sizes s join reach r on r.a = s.doc_id group by all"""
