@@ -158,3 +158,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     profiles = learn(docs.where(~F.coalesce(held_out, F.lit(False))).select("text", "lang"))
     return predict(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def oracle() -> str:
+    """N-grams as rows; CRC-32 of an id's digits, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda d: unicode(d)::bigint)), lambda c, b: {step}), 4294967295)"
+    return f"""
+with texts as (
+    select doc_id, lang, {crc} % 4 = 2 as held_out, string_split(regexp_replace(' ' || lower(coalesce(text, '')) || ' ', '[^\\p{{L}}]+', ' ', 'g'), '') as chars from documents),
+places as (select doc_id, unnest(list_transform(chars, lambda c: case when c = ' ' then 1 else unicode(c)::bigint + 1 end)) as a, generate_subscripts(chars, 1) as i from texts where len(chars) > 2),
+beside as (select doc_id, a, lead(a) over w as b, lead(a, 2) over w as c from places window w as (partition by doc_id order by i)),
+grams as (
+    select doc_id, a as code from beside where a <> 1
+    union all select doc_id, a + b * 2097152 from beside where b is not null
+    union all select doc_id, a + b * 2097152 + c * 4398046511104 from beside where c is not null and b <> 1),
+counted as (select doc_id, code, count(*) as n from grams group by all),
+own as (select doc_id, code, row_number() over (partition by doc_id order by n desc, code) - 1 as r from counted qualify r < {PROFILE}),
+learned as (select lang, code, sum(n) as n from counted join texts using (doc_id) where lang is not null and not held_out group by all),
+profiles as (select lang, code, row_number() over (partition by lang order by n desc, code) - 1 as r from learned qualify r < {PROFILE}),
+langs as (select distinct lang from profiles),
+away as (
+    select o.doc_id, l.lang, count(*) as m, sum(coalesce(abs(p.r - o.r), {PROFILE}))::bigint as d
+    from own o cross join langs l left join profiles p on p.lang = l.lang and p.code = o.code group by all),
+best as (select doc_id, lang, 1.0::double - d::double / (m * {PROFILE})::double as score from away qualify row_number() over (partition by doc_id order by d, lang) = 1)
+select doc_id, held_out, coalesce(b.lang, 'und') as lang_pred, coalesce(b.score, 0.0::double) as score from texts left join best b using (doc_id)"""

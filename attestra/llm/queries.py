@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op3_chat_format": chat.oracle(),
+    "op4_language_id": langid.oracle(),
     "op6_license_scan": licenses.oracle(),
     "op7_ngram_jaccard": jaccard.oracle(),
     "op10_decontamination": decontaminate.oracle(),
