@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestra.functions.exact import let, noisy_or, ordered_mean4, py_trim, round4, similar
 from attestra.functions.policy import CONFLICT_PENALTY, EMIT_FLOOR, FIELDS, MULTI, SIMILAR_PERCENT, SINGLE, strength, trust
+from attestra.sources.shared import materialize
 
 ORDER = ["member", "source_ord", "obs_ord"]
 PROVENANCE = "struct<source:string,method:string,raw_value:string,corroborated_by:array<string>,conflicted_with:array<string>,decision:string>"
@@ -172,10 +173,10 @@ def resolve_links(evidence: DataFrame, cluster: str = "cluster_id") -> DataFrame
 def merge(evidence: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     """One row per cluster: a struct per field, ``overall_confidence`` and the cluster's ordinal columns.
 
-    Two shuffles: evidence by (cluster, field, value), camps by cluster. Evidence of unknown fields only makes
-    its cluster known.
+    Two shuffles: evidence by (cluster, field, value), camps by cluster. The camps are written once and read by two
+    branches. Evidence of unknown fields only makes its cluster known.
     """
-    found = camps(evidence, cluster)
+    found = materialize(camps(evidence, cluster), "camps")
     single, multi, links = resolve_single(found, cluster), resolve_multi(found, cluster), resolve_links(evidence, cluster)
     wide_single = single.groupBy(cluster).agg(*[
         F.max_by(F.struct("value", "confidence", "provenance"), F.when(F.col("field") == n, 1)).alias(n) for n in SINGLE
