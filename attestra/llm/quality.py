@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import table
+from attestra.llm.common import materialize, table
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
@@ -91,11 +91,16 @@ def fold_of(text: Column, folds: int) -> Column:
     return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(folds)).cast("int")
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
-    """``__id`` and ``__text`` of ``docs`` joined to ``ids``, whose ``__id`` is broadcast where its bytes allow."""
+def broadcast_ids(ids: DataFrame) -> DataFrame:
+    """Rows with ``__id``, hinted to be broadcast where their bytes allow."""
     size = ids.agg(F.sum(64 + F.octet_length(F.col("__id").cast("string")))).first()[0] or 0
+    return F.broadcast(ids) if size <= BROADCAST_BYTES else ids
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    """``__id`` and ``__text`` of ``docs`` joined to ``ids``."""
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return texts.join(F.broadcast(ids) if size <= BROADCAST_BYTES else ids, "__id", how)
+    return texts.join(broadcast_ids(ids), "__id", how)
 
 
 def train(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS) -> list[float]:
@@ -200,18 +205,16 @@ def best_cut(good: dict[int, int], bad: dict[int, int]) -> float:
     return cut
 
 
-def labelled_cut(
-    docs: DataFrame, trusted: DataFrame, distrusted: DataFrame, ratios: list[float], id_col: str, text_col: str, folds: int
-) -> float:
-    """``best_cut`` of all labelled documents that pass the plain limits; what reaches the driver is one row per step of score."""
+def labelled_cut(scored: DataFrame, trusted: DataFrame, distrusted: DataFrame, id_col: str) -> float:
+    """``best_cut`` of the labelled ones of ``scored`` (``__id``, ``score``, ``base_failed``) that pass the plain limits; what reaches
+    the driver is one row per step of score."""
     ids = [
         x.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().withColumn("__good", F.lit(good))
         for x, good in ((trusted, True), (distrusted, False))
     ]
-    labelled = with_ids(docs, ids[0].unionByName(ids[1]), id_col, text_col, "inner").withColumnRenamed("__text", "__labelled")
-    steps = measured(labelled, [F.col("__good")], "__labelled", ratios, folds).where("not base_failed")
+    steps = scored.where("not base_failed").select("__id", F.floor(F.col("score") / STEP).alias("step"))
     counts: dict[bool, dict[int, int]] = {True: {}, False: {}}
-    for r in steps.groupBy("__good", F.floor(F.col("score") / STEP).alias("step")).count().collect():
+    for r in steps.join(broadcast_ids(ids[0].unionByName(ids[1])), "__id").groupBy("__good", "step").count().collect():
         counts[r["__good"]][r["step"]] = r["count"]
     return best_cut(counts[True], counts[False])
 
@@ -220,16 +223,19 @@ def quality(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets: int = BUCKETS, distrusted: DataFrame | None = None, keep_row: bool = False, folds: int = FOLDS,
 ) -> DataFrame:
-    """Per document: counts, ``base_failed``, ``score`` and ``kept``. Two scans and one of labelled documents, one shuffle
-    of one row per fold, bucket and task; two more of ids and texts where labelled ids are too many to broadcast.
+    """Per document: counts, ``base_failed``, ``score`` and ``kept``. Two scans, one shuffle of one row per fold, bucket and task;
+    ids and texts are shuffled too where trusted ids are too many to broadcast. Scores are written before the cut is sought.
 
     ``distrusted``: ids of the documents labelled bad; without them no score is cut. ``keep_row``: a struct ``row`` of all
     columns of ``docs``, whatever their names, stands in place of the id.
     """
     ratios = train_folds(docs, trusted, id_col, text_col, buckets, folds)
-    cut = float("-inf") if distrusted is None else labelled_cut(docs, trusted, distrusted, ratios, id_col, text_col, folds)
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep_row else F.col(id_col)
     base = measured(docs.select(own, F.col(text_col).alias("__whole")), [F.col("row" if keep_row else f"`{id_col}`")], "__whole", ratios, folds)
+    cut = float("-inf")
+    if distrusted is not None:
+        base = materialize(base, "scored")
+        cut = labelled_cut(base.select(F.col(f"row.`{id_col}`" if keep_row else f"`{id_col}`").alias("__id"), "score", "base_failed"), trusted, distrusted, id_col)
     return base.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= cut))
 
 
