@@ -36,7 +36,7 @@ SYMBOLS = "#*$%&|<>"
 
 def words_of(text: Column) -> Column:
     """Words: runs of anything but ASCII white space; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def _let(value: Column, body) -> Column:
@@ -45,9 +45,9 @@ def _let(value: Column, body) -> Column:
 
 
 def _neighbours(values: Column, body) -> Column:
-    """``body`` of each element and the next one."""
-    n = F.greatest(F.size(values) - 1, F.lit(0))
-    return F.zip_with(F.slice(values, 1, n), F.slice(values, 2, n), body)
+    """``body`` of each element and the next one; ``values`` should be cheap to name twice."""
+    first = F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0)))
+    return F.transform(first, lambda a, i: body(a, F.get(values, i + 1)))
 
 
 def hashed_ngrams(words: Column, width: int) -> Column:
@@ -71,13 +71,13 @@ def repeated_words(windows: Column, width: int) -> Column:
     """
     def covered(pairs: Column) -> Column:
         same = _neighbours(pairs, lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])))
-        places = F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
+        places = F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
         return _let(places, lambda p: F.aggregate(
             _neighbours(p, lambda a, b: F.least(b - a, F.lit(width))), F.lit(width), lambda total, step: total + step
         ))
 
     placed = F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_let(F.array_sort(placed), covered))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(_let(F.sort_array(placed), covered))
 
 
 def ngram_buckets(grams: Column, buckets: int) -> Column:
@@ -118,13 +118,15 @@ def train_folds(
     and texts are shuffled, and nothing where the ids are few enough to be broadcast.
     """
     target_ids = trusted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().withColumn("__t", F.lit(1))
+    # The same buckets as ``ngram_buckets`` gives, but word by word, so that generated code makes them.
+    words = with_ids(docs, target_ids, id_col, text_col, "left").select(
+        "__t", (fold_of(F.col("__text"), folds) * buckets).alias("f"), words_of(F.col("__text")).alias("w")
+    ).select("__t", "f", F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.size("w")).alias("b"))).alias("p"))
+    one = F.xxhash64("p.a")
+    pair = F.when(F.col("p.b").isNotNull(), F.pmod(F.xxhash64(one, F.xxhash64("p.b")), F.lit(buckets)))
     counted = (
-        with_ids(docs, target_ids, id_col, text_col, "left")
-        .select(
-            "__t", (fold_of(F.col("__text"), folds) * buckets).alias("f"),
-            F.explode(ngram_buckets(hashed_ngrams(words_of(F.col("__text")), 2), buckets)).alias("b"),
-        )
-        .groupBy((F.col("f") + F.col("b")).alias("b"))
+        words.select("__t", "f", F.explode(F.array(F.pmod(one, F.lit(buckets)), pair)).alias("b")).where("b is not null")
+        .groupBy((F.col("f") + F.col("b")).cast("int").alias("b"))
         .agg(F.count(F.lit(1)).alias("raw"), F.count("__t").alias("target"))
     )
     raw, target = [0] * buckets * folds, [0] * buckets * folds
@@ -155,15 +157,13 @@ def log_ratios(raw: list[int], target: list[int], smoothing: float = SMOOTHING)
     return out
 
 
-def mean_ratio(grams: Column, ratios: list[float], fold: Column, folds: int) -> Column:
-    """Mean of the fold's ratios of all n-grams; 0 without any. The ratios are a literal, folded once."""
+def mean_ratio(grams: Column, ratios: list[float], at: Column, folds: int) -> Column:
+    """Mean of the ratios of all n-grams, those of the fold that begin at ``at``; 0 without any. The ratios are a literal, folded once."""
     weights = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-    buckets = len(ratios) // folds
-    total = _let(fold * buckets, lambda at: F.aggregate(
-        ngram_buckets(grams, buckets), F.lit(0.0), lambda sum_, b: sum_ + F.get(weights, at + b)
-    ))
+    hashes = F.concat(F.element_at(grams, 1), F.element_at(grams, 2))
+    places = F.transform(hashes, lambda h: F.pmod(h, F.lit(len(ratios) // folds)).cast("int") + at)
     n = F.size(F.element_at(grams, 1)) + F.size(F.element_at(grams, 2))
-    return F.when(n == 0, F.lit(0.0)).otherwise(total / n)
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(places, F.lit(0.0), lambda total, p: total + F.get(weights, p)) / n)
 
 
 def measured(docs: DataFrame, own: list[Column], text_col: str, ratios: list[float], folds: int) -> DataFrame:
@@ -173,15 +173,16 @@ def measured(docs: DataFrame, own: list[Column], text_col: str, ratios: list[flo
         *own,
         text.alias("__text"),
         words_of(F.col(text_col)).alias("__words"),
+        (fold_of(F.col(text_col), folds) * (len(ratios) // folds)).alias("__at"),
     ).withColumn("__grams", hashed_ngrams(F.col("__words"), 3)).select(
         *own,
         F.size("__words").cast("long").alias("n_words"),
-        F.aggregate("__words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("word_chars"),
+        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.regexp_count("__text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         _let(F.filter(F.split("__text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))),
              lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         repeated_words(F.element_at("__grams", 3), 3).cast("long").alias("n_repeat_words"),
-        mean_ratio(F.col("__grams"), ratios, fold_of(F.col("__text"), folds), folds).alias("score"),
+        mean_ratio(F.col("__grams"), ratios, F.col("__at"), folds).alias("score"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return base.withColumn("base_failed", failed)
