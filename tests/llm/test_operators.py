@@ -68,7 +68,7 @@ def test_stream_decoder_splits_code_points():
 def test_separators(spark, docs, texts, block):
     path = shared_path(spark, "t")
     separators.write_token_files(docs.coalesce(1), path)
-    got = separators.scan_token_files(spark, path, block_ids=max(block, 64) if block == 1 else block * 16).orderBy("file", "doc").collect()
+    got = separators.scan_token_files(spark, path, block_bytes=block * 16).orderBy("file", "doc").collect()
     want = Counter(len(reference().encode_ordinary(t or "")) for t in texts)
     assert Counter(r["n_tokens"] for r in got) == want and all(r["closed"] for r in got)
 
