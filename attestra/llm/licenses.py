@@ -19,6 +19,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestra.functions.exact import let
 from attestra.llm.common import table
 from attestra.llm.license_texts import DIGESTS, NOTES, TEXTS, TITLES
 
@@ -40,9 +41,9 @@ def canonical(text: Column) -> Column:
         return F.trim(F.regexp_replace(x, r"[^\p{L}\p{N}]+", "  "))
 
     low = F.lower(text)
-    kept = bare(F.regexp_replace(low, COPYRIGHT_LINE, " "))
+    kept = let(bare(F.regexp_replace(low, COPYRIGHT_LINE, " ")), lambda k: F.when(k == "", bare(low)).otherwise(k))
     # Two spaces between words, so that neighbours that are replaced don't share one.
-    out = F.concat(F.lit(" "), F.when(kept == "", bare(low)).otherwise(kept), F.lit(" "))
+    out = F.concat(F.lit(" "), kept, F.lit(" "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
     return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
@@ -50,8 +51,7 @@ def canonical(text: Column) -> Column:
 
 def digest(text: Column) -> Column:
     """Digest of the canonical form; null where that is empty."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form.cast("binary"), 256))
+    return let(canonical(text), lambda form: F.when(form != "", F.sha2(form.cast("binary"), 256)))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
