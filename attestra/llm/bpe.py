@@ -22,17 +22,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from attestra.llm.common import map_rows, table
+from attestra.llm.common import held, map_rows, table
 
 BOS = -1
 ROOT = 0
+#: Two numbers of a hypothesis.
+HYPOTHESIS = struct.Struct("ii")
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -108,11 +111,14 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        start = ((BOS, ROOT),)
+        #: A state is its hypotheses in bytes: of each its last token, or -2 less the number of a list of tokens, and its node.
+        start = HYPOTHESIS.pack(BOS, ROOT)
         self.state_id = {start: 0}
         self.states = [start]
         self.compatible_pairs: dict[int, bool] = {}
-        self.narrowed: dict = {}
+        self.lists: list[tuple[int, ...]] = [()]
+        self.list_id: dict[tuple[int, ...], int] = {(): 0}
+        self.narrowed: dict[int, int] = {}
         #: Transition ids, -1 where not yet built, in pages of 16 bytes; a state's pages by high half of the byte, 0 the empty one.
         self.page_of = np.zeros((1024, 16), np.int32)
         self.page = np.full((4096, 16), -1, np.int32)
@@ -171,41 +177,45 @@ class Transducer:
             self.compatible_pairs[key] = known
         return known
 
-    def _narrow(self, last, node: int):
-        """What of ``last`` still matters below ``node``: all that are allowed if they are few, else itself."""
+    def _narrow(self, last: int, node: int) -> int:
+        """What of ``last`` still matters below ``node``: the list of all that are allowed if they are few, else itself."""
         below = self.below[node]
         if below is None:
             return last
-        key = (last, node)
+        key = last * len(self.token_at) + node
         known = self.narrowed.get(key)
         if known is None:
-            if isinstance(last, tuple):
-                known = tuple(u for u in below if u in last)
-            else:
-                known = tuple(u for u in below if last == BOS or self.compatible(last, u))
-            self.narrowed[key] = known
+            allowed = tuple(u for u in below if self._allows(last, u))
+            number = self.list_id.get(allowed)
+            if number is None:
+                number = self.list_id[allowed] = len(self.lists)
+                self.lists.append(allowed)
+            known = self.narrowed[key] = -2 - number
         return known
 
+    def _allows(self, last: int, token: int) -> bool:
+        return token in self.lists[-2 - last] if last < BOS else last == BOS or self.compatible(last, token)
+
     def _build(self, state: int, byte: int) -> int:
         hypotheses, back, done = [], [], None
-        for parent, (last, node) in enumerate(self.states[state]):
+        for parent, (last, node) in enumerate(HYPOTHESIS.iter_unpack(self.states[state])):
             nxt = self.goto.get(node << 8 | byte)
             if nxt is None:
                 continue
             token = self.token_at[nxt]
             if token >= 0 and done is None:
-                if token in last if isinstance(last, tuple) else last == BOS or self.compatible(last, token):
+                if self._allows(last, token):
                     done = (parent, token)
             if self.has_child[nxt]:
                 last = self._narrow(last, nxt)
-                if last != ():
-                    hypotheses.append((last, nxt))
+                if last != -2:
+                    hypotheses.append(HYPOTHESIS.pack(last, nxt))
                     back.append((parent, -1))
         if done is None:
             raise ValueError("the merge table has tokens that merges cannot reach")
-        hypotheses.append((done[1], ROOT))
+        hypotheses.append(HYPOTHESIS.pack(done[1], ROOT))
         back.append(done)
-        key = tuple(hypotheses)
+        key = b"".join(hypotheses)
         target = self.state_id.get(key)
         if target is None:
             target = self.state_id[key] = len(self.states)
@@ -243,7 +253,7 @@ class Transducer:
 
     def _release(self, state: int, trail: list[int]) -> list[tuple[int, int]]:
         """(position, token) of what all open hypotheses agree on."""
-        ways = [self._trace(trail, h) for h in range(len(self.states[state]))]
+        ways = [self._trace(trail, h) for h in range(len(self.states[state]) // HYPOTHESIS.size)]
         k = 0
         while all(len(w) > k and w[k] == ways[0][k] for w in ways):
             k += 1
@@ -403,14 +413,21 @@ class Encoder:
     INNER_SPACE = re.compile(r" \s")
     CUT = re.compile(r" (?=\S)")
     SHORT = 48
+    #: Just below the sizes at which Python doubles a dict.
+    PIECES, WORDS = 174_000, 87_000
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, pack, joiner, bound: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pack, joiner):
         self.transducer = Transducer(ranks)
         self.pattern = regex.compile(pattern)
         self.default = pattern == default_vocabulary()[1]
         self.pack, self.joiner = pack, joiner
-        self.pieces = _Memo(bound)
-        self.words = _Memo(bound)
+        self.pieces = _Memo(self.PIECES)
+        self.words = _Memo(self.WORDS)
+
+    @cached_property
+    def decimal_bytes(self) -> dict[str, bytes]:
+        """Tokens by the decimals of their ids."""
+        return {str(rank): token for rank, token in self.transducer.bytes_of.items()}
 
     def _cut(self, text: str) -> list[str]:
         """The text's pieces; all but the first stand for themselves with a space before."""
@@ -448,11 +465,11 @@ class Encoder:
             self.pieces.known[piece] = known[s[0]] if len(s) == 1 else join([known[w] for w in s])
 
     def many(self, texts: list[str], step: int = 500) -> Iterator:
-        """Packed ids of each text, ``step`` texts or about 4 million characters at a time."""
+        """Packed ids of each text, ``step`` texts or about a million characters at a time."""
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and end - at < step and (end == at or size < 4_000_000):
+            while end < len(texts) and end - at < step and (end == at or size < 1_000_000):
                 size += len(texts[end])
                 end += 1
             cut, pieces = [], set()
@@ -468,11 +485,8 @@ class Encoder:
             at = end
 
 
-_DECIMAL = [str(i) for i in range(1 << 17)]
-
-
 def pack_decimal(ids: list[int]) -> str:
-    return ",".join([_DECIMAL[i] for i in ids])
+    return ",".join(map(str, ids))
 
 
 def pack_u16(ids: list[int]) -> bytes:
@@ -484,17 +498,12 @@ def vocabulary_bytes(path: str) -> bytes:
         return f.read()
 
 
-@lru_cache(maxsize=4)
+@held("bpe", 4)
 def _encoder(vocabulary: bytes, pattern: str, kind: str) -> Encoder:
     ranks = read_ranks(vocabulary)
     return Encoder(ranks, pattern, pack_decimal, ",") if kind == "decimal" else Encoder(ranks, pattern, pack_u16, b"")
 
 
-@lru_cache(maxsize=4)
-def _decimal_bytes(vocabulary: bytes) -> dict[str, bytes]:
-    return {str(rank): token for token, rank in read_ranks(vocabulary).items()}
-
-
 def default_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -525,11 +534,11 @@ def encode_decode(
     shared = df.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary_path or path))
 
     def per_batch(keys, texts):
-        encoder, bytes_of = _encoder(shared.value, pattern, "decimal"), _decimal_bytes(shared.value)
+        encoder = _encoder(shared.value, pattern, "decimal")
         counts, ids_digests, text_digests, kept = [], [], [], []
         for packed in encoder.many([t or "" for t in texts]):
             ids = packed.split(",") if packed else []
-            digest, decoder = hashlib.sha256(), StreamDecoder(bytes_of)
+            digest, decoder = hashlib.sha256(), StreamDecoder(encoder.decimal_bytes)
             for at in range(0, len(ids), DECODE_BLOCK):
                 digest.update(decoder.feed(ids[at : at + DECODE_BLOCK]).encode("utf-8"))
             digest.update(decoder.finish().encode("utf-8"))
@@ -542,7 +551,7 @@ def encode_decode(
 
     kind = dict(df.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_rows(df.select(id_col, text_col), per_batch, schema + (", ids array<int>" if keep_ids else ""))
+    return map_rows(df.select(id_col, text_col), per_batch, schema + (", ids array<int>" if keep_ids else ""), holds="bpe")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from functools import _lru_cache_wrapper, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +27,53 @@ def broadcast_if_small(df: DataFrame, key: str) -> DataFrame:
     return F.broadcast(df) if found <= BROADCAST_BYTES else df
 
 
+#: What Python workers keep between tasks, by the operator that it serves.
+_HELD: dict[str, list[_lru_cache_wrapper]] = {}
+
+
+def held(operator: str, maxsize: int):
+    """``lru_cache`` for what tasks of ``operator`` share in a worker; it goes when the worker runs a task of another operator."""
+
+    def decorate(function):
+        cached = lru_cache(maxsize)(function)
+        _HELD.setdefault(operator, []).append(cached)
+        return cached
+
+    return decorate
+
+
+def let_go(but: str) -> None:
+    """Forget what is held for operators other than ``but``."""
+    for operator, caches in _HELD.items():
+        if operator != but:
+            for cached in caches:
+                cached.cache_clear()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, beside a heap that needs the room."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # only glibc has it
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, holds: str = "") -> DataFrame:
+    """``mapInArrow`` by tasks that use what is held for operator ``holds``, let go of the rest, and give back what they free."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(holds)
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def map_rows(
-    df: DataFrame, per_batch: Callable[..., Iterable[list]], schema: str, names: list[str] | None = None
+    df: DataFrame, per_batch: Callable[..., Iterable[list]], schema: str, names: list[str] | None = None, holds: str = ""
 ) -> DataFrame:
-    """``mapInArrow`` where ``per_batch`` gets each input column as a Python list and returns output columns."""
+    """``map_arrow`` where ``per_batch`` gets each input column as a Python list and returns output columns."""
     spark = df.sparkSession
     out_schema = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
     arrow_schema = to_arrow(out_schema)
@@ -41,7 +86,7 @@ def map_rows(
                     [pa.array(c, type=f.type) for c, f in zip(columns, arrow_schema, strict=True)], schema=arrow_schema
                 )
 
-    return df.mapInArrow(run, out_schema)
+    return map_arrow(df, run, out_schema, holds)
 
 
 def to_arrow(schema) -> pa.Schema:

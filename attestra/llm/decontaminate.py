@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import SLICE, broadcast_if_small, map_rows, materialize, table
+from attestra.llm.common import SLICE, broadcast_if_small, map_arrow, map_rows, materialize, table
 
 WINDOW = 13
 #: Bytes of benchmark text in one automaton, which takes about 70 times as much memory in each Python worker.
@@ -231,7 +231,7 @@ def keep_clean(
                 clean.append(not (any(hit) and 20 * sum(hit) >= len(hit)))
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def _runs(text: str, hit: bytearray) -> list[dict]:

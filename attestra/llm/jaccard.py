@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from attestra.llm.common import SLICE, broadcast_if_small, discard, materialize, table
+from attestra.llm.common import SLICE, broadcast_if_small, discard, map_arrow, materialize, table
 from attestra.llm.shingles import shingle_sets
 from attestra.operators.components import connected_components
 
@@ -113,7 +113,7 @@ def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, width: int) -
             sets = list(sets_in_steps(batch.column(0).to_pylist(), width))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["s"])
 
-    counted = some.mapInArrow(members, "s long").groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("c")).where(F.col("c") >= FREQUENT)
+    counted = map_arrow(some, members, "s long").groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("c")).where(F.col("c") >= FREQUENT)
     rows = counted.orderBy(F.desc("c"), "s").limit(MOST_FREQUENT).toArrow()
     found = rows["s"].to_numpy().view(np.uint64)
     order = np.argsort(found)
@@ -159,7 +159,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         StructField("id", docs.schema[id_col].dataType), StructField("n", LongType()), StructField("digest", BinaryType()),
         StructField("prefix", ArrayType(LongType())), StructField("bits", BinaryType()),
     ])
-    return materialize(docs.select(id_col, text_col).mapInArrow(run, schema), "sets")
+    return materialize(map_arrow(docs.select(id_col, text_col), run, schema), "sets")
 
 
 class Members:
@@ -319,12 +319,12 @@ def small_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).take(some) for c in (2, 3, 0, 1)], ["a", "b", "u", "v"])
 
     met = members.select("key", "rep", "n").repartition("key").sortWithinPartitions("key", "n", "rep")
-    met = materialize(met.mapInArrow(run, StructType([StructField("u", kind), StructField("v", kind)])).distinct(), "met")
+    met = materialize(map_arrow(met, run, StructType([StructField("u", kind), StructField("v", kind)])).distinct(), "met")
     side = lambda c, k: reps.select(F.col("rep").alias(c), F.col("digest").alias(f"d{k}"), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"b{k}"))
     both = met.join(side("u", 0), "u").join(side("v", 1), "v").where("d0 <> d1").select("u", "v", "d0", "d1", "n0", "n1", "b0", "b1")
     out = StructType([StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("u", kind), StructField("v", kind)])
     least = F.col("a") <= F.col("b")
-    return both.mapInArrow(reach, out).select(
+    return map_arrow(both, reach, out).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(least, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(least, F.col("v")).otherwise(F.col("u")).alias("v")
     )
 
@@ -375,7 +375,7 @@ def _pairs_of(members: DataFrame, percent: int, mode: str) -> DataFrame:
 
     sorted_ = members.select("cell", "side", "digest", "rep", "n", "label", "bits").repartition("cell").sortWithinPartitions("cell", "n", "digest")
     out = StructType([StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("u", kind), StructField("v", kind), StructField("cell", LongType())])
-    return sorted_.mapInArrow(run, out)
+    return map_arrow(sorted_, run, out)
 
 
 def check_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -393,7 +393,7 @@ def check_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, w
 
     # Repeated rows of an id have one set; other texts of an id have digests that no pair has.
     sets = materialize(
-        texts.select("id", "t").mapInArrow(members, StructType([StructField("digest", BinaryType()), StructField("set", BinaryType())])), "members"
+        map_arrow(texts.select("id", "t"), members, StructType([StructField("digest", BinaryType()), StructField("set", BinaryType())])), "members"
     ).groupBy("digest").agg(F.first("set").alias("set"))
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), "a").join(
         sets.select(F.col("digest").alias("b"), F.col("set").alias("y")), "b"
@@ -411,7 +411,7 @@ def check_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, w
             some = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some)], ["u", "v"])
 
-    return materialize(both.mapInArrow(verify, StructType([StructField("u", kind), StructField("v", kind)])).distinct(), "links")
+    return materialize(map_arrow(both, verify, StructType([StructField("u", kind), StructField("v", kind)])).distinct(), "links")
 
 
 def buckets_of(reps: DataFrame) -> DataFrame:

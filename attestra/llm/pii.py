@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestra.llm.common import SLICE, map_rows, table
+from attestra.llm.common import SLICE, map_arrow, map_rows, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -383,7 +383,7 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
             ]
             yield batch.set_column(place, batch.schema.field(place), pa.array(masked, batch.schema.field(place).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def write_token_files(
         encoder = bpe._encoder(shared.value, pattern, "u16")
         return [[packed + high for packed in encoder.many([t or "" for t in texts])]]
 
-    ids = map_rows(docs.select(text_col), per_batch, "ids binary")
+    ids = map_rows(docs.select(text_col), per_batch, "ids binary", holds="bpe")
     (
         ids.select(F.col("ids").cast("string").alias("value"))
         .write.option("lineSep", low).option("maxRecordsPerFile", FILE_DOCS).text(path)

@@ -4,13 +4,15 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from attestra.llm import bpe, chat, decontaminate, html, jaccard, langid, licenses, pii, quality, separators
+from attestra.llm import bpe, chat, common, decontaminate, html, jaccard, langid, licenses, pii, quality, separators
 from attestra.sources.shared import shared_path
 
 RNG = random.Random(7)
@@ -57,6 +59,33 @@ def test_bpe(spark, docs, texts):
     assert bpe.encode_decode(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_workers_let_go_of_the_encoder(spark, docs):
+    def holding(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bpe._encoder.cache_info().currsize] * batch.num_rows, pa.int32())], ["n"])
+
+    ids, encoded = docs.select("doc_id").coalesce(1), bpe.encode_decode(docs.coalesce(1))
+    for holds, most in (("bpe", 1), ("", 0)):
+        encoded.collect()
+        assert max(r["n"] for r in common.map_arrow(ids, holding, "n int", holds).collect()) == most
+
+
+def test_encoder_memory():
+    """MB of states and remembered pieces after 40,000 words that occur once: 52.6, and 62.4 while states were tuples of tuples."""
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöü") for _ in range(9)) for _ in range(40_000))
+    path, pattern = bpe.default_vocabulary()
+    encoder = bpe.Encoder(bpe.read_ranks(bpe.vocabulary_bytes(path)), pattern, bpe.pack_decimal, ",")
+    tracemalloc.start()
+    try:
+        ids = next(encoder.many([text]))
+        grown = tracemalloc.get_traced_memory()[0] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert [int(x) for x in ids.split(",")] == reference().encode_ordinary(text)
+    assert grown < 57
+
+
 def test_stream_decoder_splits_code_points():
     data = "aé漢🙂z".encode()
     for bad in (data, data[:-2], b"\xff\xf0\x9f", b"\xe0\x80a", b"\xc3"):
