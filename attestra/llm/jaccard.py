@@ -16,10 +16,12 @@ Links are sought in rounds, so that a group of near copies doesn't emit its pair
 1. in buckets of up to ``SMALL`` all pairs that the bounds leave; in larger ones, cut into blocks of about ``BLOCK`` by hash,
    only pairs that join two groups of their block (a forest, fewer pairs than members);
 2. where there are several blocks, the same between one delegate of each component in the bucket, until it adds nothing;
-3. in buckets that gave pairs and still hold several components, all pairs between different ones that the bounds leave and
-   that were not checked before. Large components have blocks of their own, which never meet each other.
+3. in buckets that gave pairs and still hold several components, the members with a pair between different ones that the
+   bounds leave, in the first bucket that both ends have; their whole sets follow them there, and the links that join
+   components are emitted (a forest again). Large components have blocks of their own, which never meet each other.
 
-So no link between components is lost. What is emitted beyond the forests are pairs that barely miss the similarity.
+So no link between components is lost, and no round emits more rows than it has members of buckets: pairs that barely miss
+the similarity are told in their bucket.
 
 Nulls, empty texts and texts without words have no shingles and link with nothing; their component is their id. Shorter texts
 than a shingle are one shingle. Rows of one id are one document, so all texts of an id are in one component; repeated rows
@@ -30,7 +32,7 @@ gives an empty one.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,8 @@ BITS_LOW, BITS_HIGH = 64, 1 << 13
 LEAF = 32
 #: Buckets up to SMALL give all their pairs at once; above BLOCK they are cut.
 SMALL, BLOCK = 8, 2000
+#: Keys of a member's first buckets that tell whether a pair has met before; a pair with none in common meets more than once.
+FIRST_KEYS = 16
 #: Rounds between delegates at most; what they leave is found by the last round.
 DELEGATE_ROUNDS = 4
 #: Texts hashed together.
@@ -256,19 +260,31 @@ def dual_traversal(members: Members, labels: np.ndarray, percent: int) -> Iterat
             stack += [(a, y) for y in b.children]
 
 
-def bucket_pairs(sizes, bits, labels, percent: int, forest: bool, sides=None) -> tuple[list[int], list[int]]:
-    """Pairs of places in one bucket, of different ``sides`` where they are given; ``forest``: only those that join groups."""
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two whole sets reach the similarity."""
+    if len(x) > len(y):
+        x, y = y, x
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def pairs_across(sizes, bits, labels, percent: int, sides) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``dual_traversal`` of one bucket; where ``sides`` differ, only pairs across."""
+    across = (sides != sides[0]).any()
+    for i, j in dual_traversal(Members(sizes, bits), labels, percent):
+        yield (i[sides[i] != sides[j]], j[sides[i] != sides[j]]) if across else (i, j)
+
+
+def bucket_forest(sizes, bits, labels, percent: int, sides, whole: Callable[[int], np.ndarray] | None = None) -> tuple[list[int], list[int]]:
+    """Pairs of places in one bucket that join groups; ``whole`` gives the set of a place, then only those that link."""
     first: list[int] = []
     second: list[int] = []
     labels = np.unique(labels, return_inverse=True)[1]
-    for i, j in dual_traversal(Members(sizes, bits), labels, percent):
-        if sides is not None:
-            i, j = i[sides[i] != sides[j]], j[sides[i] != sides[j]]
-        if not forest:
-            first += i.tolist()
-            second += j.tolist()
-            continue
+    for i, j in pairs_across(sizes, bits, labels, percent, sides):
         while len(i):
+            if whole and not alike(whole(i[0]), whole(j[0]), percent):
+                i, j = i[1:], j[1:]
+                continue
             first.append(int(i[0]))
             second.append(int(j[0]))
             labels[labels == labels[j[0]]] = labels[i[0]]
@@ -277,6 +293,18 @@ def bucket_pairs(sizes, bits, labels, percent: int, forest: bool, sides=None) ->
     return first, second
 
 
+def bucket_met(sizes, bits, labels, percent: int, sides, firsts: np.ndarray) -> np.ndarray:
+    """Places in one bucket with a pair that no bucket before has; ``firsts``: keys before this one's by place, filled up with negative places."""
+    met = np.zeros(len(sizes), bool)
+    labels = np.unique(labels, return_inverse=True)[1]
+    for i, j in pairs_across(sizes, bits, labels, percent, sides):
+        new = ~(met[i] & met[j])
+        i, j = i[new], j[new]
+        new = ~(firsts[i][:, :, None] == firsts[j][:, None, :]).any((1, 2))
+        met[i[new]] = met[j[new]] = True
+    return np.flatnonzero(met)
+
+
 def small_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs, digests (a, b) and ids (u, v), in buckets of up to SMALL, from rows (key, rep, n).
 
@@ -329,34 +357,18 @@ def small_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _pairs_of(members: DataFrame, percent: int, mode: str) -> DataFrame:
-    """Candidate pairs of representatives, digests (a, b), ids (u, v) and their cell, from rows (cell, side, digest, rep, n, label, bits).
+def _in_cells(members: DataFrame, columns: list[str], each: Callable[[pa.Table, int, int, np.ndarray], object], done: Callable[[pa.Table, list], pa.RecordBatch], out: StructType) -> DataFrame:
+    """``done`` of what ``each`` finds in the rows from a to b of every cell with several labels (numbers); ``columns`` of the rows are read.
 
-    A bucket is the rows of one cell; ``mode``: forest or all. Rows of a cell with both sides 0 and 1 only meet across.
+    A bucket is the rows of one cell in order of size. Rows of a cell with both sides 0 and 1 only meet across.
     """
-    kind = members.schema["rep"].dataType
 
-    def done(rows: pa.Table) -> pa.RecordBatch:
-        cell, sizes = rows["cell"].to_numpy(), rows["n"].to_numpy()
-        bits = rows["bits"].to_pylist()
+    def cells(rows: pa.Table) -> pa.RecordBatch:
+        cell = rows["cell"].to_numpy()
         labels = np.unique(np.array(rows["label"].to_pylist()), return_inverse=True)[1]
-        sides = rows["side"].to_numpy()
-        first, second = [], []
-        edge = np.flatnonzero(cell[1:] != cell[:-1]) + 1
-        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(cell)], strict=True):
-            if b - a > 1 and (labels[a:b] != labels[a]).any():
-                both = sides[a:b] if (sides[a:b] != sides[a]).any() else None
-                p, q = bucket_pairs(sizes[a:b], bits[a:b], labels[a:b], percent, mode == "forest", both)
-                first += [a + x for x in p]
-                second += [a + x for x in q]
-        digests = rows["digest"].to_pylist()
-        swap = [(q, p) if digests[q] < digests[p] else (p, q) for p, q in zip(first, second, strict=True)]
-        p, q = (pa.array([s[k] for s in swap], pa.int64()) for k in (0, 1))
-        return pa.RecordBatch.from_arrays(
-            [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (
-                rows["digest"].take(p), rows["digest"].take(q), rows["rep"].take(p), rows["rep"].take(q), rows["cell"].take(p))],
-            ["a", "b", "u", "v", "cell"],
-        )
+        edge = (np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist()
+        bounds = zip([0, *edge], [*edge, len(cell)], strict=True)
+        return done(rows, [each(rows, a, b, labels[a:b]) for a, b in bounds if b - a > 1 and (labels[a:b] != labels[a]).any()])
 
     def run(batches):
         waiting: list[pa.RecordBatch] = []
@@ -368,20 +380,87 @@ def _pairs_of(members: DataFrame, percent: int, mode: str) -> DataFrame:
             last = np.flatnonzero(cell != cell[-1])
             cut = int(last[-1]) + 1 if len(last) else 0  # the last bucket may go on in the next batch
             if cut:
-                yield done(rows.slice(0, cut))
+                yield cells(rows.slice(0, cut))
             waiting = rows.slice(cut).to_batches()
         if waiting:
-            yield done(pa.Table.from_batches(waiting))
+            yield cells(pa.Table.from_batches(waiting))
 
-    sorted_ = members.select("cell", "side", "digest", "rep", "n", "label", "bits").repartition("cell").sortWithinPartitions("cell", "n", "digest")
-    out = StructType([StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("u", kind), StructField("v", kind), StructField("cell", LongType())])
+    sorted_ = members.select("cell", "side", "digest", "rep", "n", "label", "bits", *columns).repartition("cell").sortWithinPartitions("cell", "n", "digest")
     return map_arrow(sorted_, run, out)
 
 
-def check_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs of written table ``pairs`` whose whole sets reach the similarity; written."""
-    kind = docs.schema[id_col].dataType
-    ids = materialize(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
+def _of(rows: pa.Table, a: int, b: int) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Sizes, bitmaps and sides of the rows from a to b."""
+    part = rows.slice(a, b - a)
+    return part["n"].to_numpy(), part["bits"].to_pylist(), part["side"].to_numpy()
+
+
+def _taken(rows: pa.Table, places: list[int], columns: list[str]) -> list[pa.Array]:
+    found = rows.select(columns).take(pa.array(places, pa.int64())).combine_chunks()
+    return [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in found.columns]
+
+
+def forests(members: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs that join groups of their bucket, digests (a, b), ids (u, v) and their cell, from rows (cell, side, digest, rep, n, label, bits)."""
+    kind = members.schema["rep"].dataType
+
+    def each(rows, a, b, labels):
+        sizes, bits, sides = _of(rows, a, b)
+        return [(a + x, a + y) for x, y in zip(*bucket_forest(sizes, bits, labels, percent, sides), strict=True)]
+
+    def done(rows, found):
+        digests = rows["digest"].to_pylist()
+        pairs = [(q, p) if digests[q] < digests[p] else (p, q) for some in found for p, q in some]
+        left, right = (_taken(rows, [pair[k] for pair in pairs], ["digest", "rep", "cell"]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([left[0], right[0], left[1], right[1], left[2]], ["a", "b", "u", "v", "cell"])
+
+    out = StructType([StructField("a", BinaryType()), StructField("b", BinaryType()), StructField("u", kind), StructField("v", kind), StructField("cell", LongType())])
+    return _in_cells(members, [], each, done, out)
+
+
+def members_met(members: DataFrame, percent: int) -> DataFrame:
+    """Rows (cell, side, rep, label) of those members that a pair the bounds leave has, in the first bucket of both; from rows with their ``key`` and ``firsts``."""
+    names = ["cell", "side", "rep", "label"]
+
+    def each(rows, a, b, labels):
+        sizes, bits, sides = _of(rows, a, b)
+        key = rows["key"][a].as_py()
+        firsts = np.repeat(np.arange(b - a)[:, None], FIRST_KEYS, 1)
+        before = np.zeros(firsts.shape, bool)
+        for k, keys in enumerate(rows["firsts"].slice(a, b - a).to_pylist()):
+            keys = [x for x in keys if x < key]
+            firsts[k, : len(keys)] = keys
+            before[k, : len(keys)] = True
+        # Keys become numbers from 0 on, so that places can stand for none below them.
+        firsts[before] = np.unique(firsts[before], return_inverse=True)[1]
+        firsts[~before] = -1 - firsts[~before]
+        return [a + x for x in bucket_met(sizes, bits, labels, percent, sides, firsts).tolist()]
+
+    def done(rows, found):
+        return pa.RecordBatch.from_arrays(_taken(rows, [p for some in found for p in some], names), names)
+
+    return _in_cells(members, ["key", "firsts"], each, done, StructType([members.schema[c] for c in names]))
+
+
+def linked(members: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join groups of their bucket, from rows with their whole ``set``."""
+    kind = members.schema["rep"].dataType
+
+    def each(rows, a, b, labels):
+        sizes, bits, sides = _of(rows, a, b)
+        sets = rows["set"]
+        whole = lambda k: np.frombuffer(sets[a + int(k)].as_buffer(), np.uint64)
+        return [(a + x, a + y) for x, y in zip(*bucket_forest(sizes, bits, labels, percent, sides, whole), strict=True)]
+
+    def done(rows, found):
+        pairs = [pair for some in found for pair in some]
+        return pa.RecordBatch.from_arrays([_taken(rows, [pair[k] for pair in pairs], ["rep"])[0] for k in (0, 1)], ["u", "v"])
+
+    return _in_cells(members, ["set"], each, done, StructType([StructField("u", kind), StructField("v", kind)]))
+
+
+def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Whole sets by digest, of the documents of the written table ``ids``."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(broadcast_if_small(ids, "id"), "id", "left_semi")
 
     def members(batches):
@@ -392,22 +471,26 @@ def check_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, w
             )
 
     # Repeated rows of an id have one set; other texts of an id have digests that no pair has.
-    sets = materialize(
+    return materialize(
         map_arrow(texts.select("id", "t"), members, StructType([StructField("digest", BinaryType()), StructField("set", BinaryType())])), "members"
     ).groupBy("digest").agg(F.first("set").alias("set"))
+
+
+def check_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """The pairs of written table ``pairs`` whose whole sets reach the similarity; written."""
+    kind = docs.schema[id_col].dataType
+    ids = materialize(pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct(), "ids")
+    sets = sets_of(docs, ids, id_col, text_col, width)
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), "a").join(
         sets.select(F.col("digest").alias("b"), F.col("set").alias("y")), "b"
     ).select("u", "v", "x", "y")
 
     def verify(batches):
         for batch in sliced(batches):
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            good = [
+                alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ]
             some = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(some), batch.column(1).take(some)], ["u", "v"])
 
@@ -479,16 +562,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     sizes = reps.select("rep", "n").distinct()
     ends = ["a", "b", "u", "v"]
 
-    def pairs_in(rows: DataFrame, mode: str) -> DataFrame:
+    def forests_in(rows: DataFrame) -> DataFrame:
         """Digests, sizes and bitmaps join the rows (cell, side, rep, label) only on their way to the cells."""
-        return _pairs_of(rows.join(reps, "rep"), percent, mode)
+        return forests(rows.join(reps, "rep"), percent)
 
     plain = placed.withColumn("side", F.lit(0)).withColumn("label", F.xxhash64("rep"))
     large = plain.where(F.col("c") > SMALL)
     block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK).cast("long"))
     few = small_pairs(placed.where(F.col("c") <= SMALL).join(sizes, "rep"), reps, percent)
     cell = F.when(F.col("c") > BLOCK, F.xxhash64("key", block)).otherwise(F.col("key"))
-    first = materialize(few.withColumn("cell", F.lit(None).cast("long")).unionByName(pairs_in(large.withColumn("cell", cell), "forest")).distinct(), "first")
+    first = materialize(few.withColumn("cell", F.lit(None).cast("long")).unionByName(forests_in(large.withColumn("cell", cell))).distinct(), "first")
     tried = materialize(first.select(*ends).distinct(), "tried")
     # A forest leaves pairs out only beside one that it gives, so buckets that gave none are done, if they were not cut.
     gave = materialize(first.where("cell is not null").select(F.col("cell").alias("key")).distinct(), "gave")
@@ -508,7 +591,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
         one = labelled(cut, found).groupBy("key", "label").agg(delegate).select("key", "label", "d.*")
         many = one.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
         cell = F.xxhash64("key", F.pmod(F.col("h"), F.ceil(F.col("m") / BLOCK).cast("long")))
-        again = pairs_in(one.join(many, "key").withColumn("cell", cell).withColumn("side", F.lit(0)), "forest")
+        again = forests_in(one.join(many, "key").withColumn("cell", cell).withColumn("side", F.lit(0)))
         again = materialize(again.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "delegates")
         more = check_pairs(docs, again, id_col, text_col, width, percent)
         tried = materialize(tried.unionByName(again), "tried")
@@ -516,16 +599,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
             break
         found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "u", "v")
 
-    left = materialize(labelled(open_, found).select("key", "side", "rep", "label"), "left")
-    rest = pairs_in(left.withColumn("cell", F.col("key")), "all")
+    left = materialize(labelled(open_.unionByName(cut), found).select("key", "c", "side", "rep", "label"), "left")
+    cells = left.where(F.col("c") <= BLOCK).select("key", "side", "rep", "label").withColumn("cell", F.col("key"))
     if most > BLOCK:
-        rest = rest.unionByName(pairs_in(blocks_of(labelled(cut, found)), "all"))
-    rest = materialize(rest.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = check_pairs(docs, rest, id_col, text_col, width, percent)
+        cells = cells.unionByName(blocks_of(left.where(F.col("c") > BLOCK)).select(*cells.columns))
+    firsts = left.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set("key")), 1, FIRST_KEYS).alias("firsts"))
+    met = materialize(members_met(cells.join(firsts, "rep").join(reps, "rep"), percent), "met")
+    ids = materialize(met.select(F.col("rep").alias("id")).distinct(), "ids")
+    if not ids.isEmpty():
+        more = materialize(linked(met.join(reps, "rep").join(sets_of(docs, ids, id_col, text_col, width), "digest"), percent).distinct(), "links")
         if not more.isEmpty():
             found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "u", "v")
-    discard(written, first, tried, gave, left, rest, placed, edges, links)
+    discard(written, first, tried, gave, left, met, ids, placed, edges, links)
     labels = found.select(F.col("node").alias("rep"), "component")
     return member_of.join(broadcast_if_small(labels, "rep"), "rep", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")

@@ -296,6 +296,39 @@ def test_jaccard_in_cut_buckets(spark, monkeypatch, small, block):
     assert got == brute_components(rows, 5, 80)
 
 
+def test_jaccard_of_near_misses_emits_no_pairs(spark, monkeypatch):
+    """Copies with nine edits barely miss each other, few of them link: rows made in buckets follow their members, not the pairs."""
+    made, read = (spark.sparkContext.accumulator(0) for _ in range(2))
+    plain = jaccard.map_arrow
+
+    def counted(df, run, schema, *rest):
+        def each(batches):
+            def seen():
+                for batch in batches:
+                    read.add(batch.num_rows)
+                    yield batch
+
+            for batch in run(seen()):
+                made.add(batch.num_rows)
+                yield batch
+
+        return plain(df, each if "cell" in df.columns else run, schema, *rest)
+
+    monkeypatch.setattr(jaccard, "map_arrow", counted)
+    rng = random.Random(23)
+    base = [f"{rng.choice(WORDS)}{k}" for k in range(694)]
+    rows = []
+    for k in range(60):
+        own = rows[-1][1].split() if k % 15 == 14 else list(base)
+        for at in rng.sample(range(5, 689), 1 if k % 15 == 14 else 9):
+            own[at] = f"edit{k}"
+        rows.append((k, " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), width=5, percent=80).collect()}
+    assert got == brute_components(rows, 5, 80)
+    assert 30 < len({component for _, component in got.values()}) < 60
+    assert 0 < made.value <= read.value
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     a, b, c = (prose(100) for _ in range(3))
     rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (5, c), (5, c), (6, c), (None, a), (None, None), (7, None), (8, "one"), (8, None), (9, b)]
